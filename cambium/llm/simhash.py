@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from cambium.llm.common import batched, durable
+from cambium.llm.common import batched, durable, fresh
 from cambium.llm.components import connected_components
 
 BITS = 64
@@ -95,7 +95,8 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 2) ->
     keep = of_each.where("id is not null").groupBy("component").agg(F.min("id").alias("doc_id")).select("doc_id")
     named = docs.join(keep, "doc_id", "left_semi").select(docs.columns)
     repeated = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns if c != "doc_id"])
-    one = named.withColumn("_nth", F.row_number().over(repeated)).where("_nth = 1").drop("_nth")
+    nth = fresh("nth")
+    one = named.withColumn(nth, F.row_number().over(repeated)).where(F.col(nth) == 1).drop(nth)
     return one.unionByName(docs.where("doc_id is null"))
 
 
