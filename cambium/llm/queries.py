@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from cambium.llm.decontaminate import op2_decontaminate
 from cambium.llm.language import op8_language
+from cambium.llm.pii import op3_pii
 from cambium.llm.secrets import op5_secrets
 from cambium.llm.simhash import op7_simhash
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op5_secrets": op5_secrets, "op7_simhash": op7_simhash, "op8_language": op8_language}
+QUERIES = {"op2_decontaminate": op2_decontaminate, "op3_pii": op3_pii, "op5_secrets": op5_secrets, "op7_simhash": op7_simhash, "op8_language": op8_language}
 
 ORACLES: dict[str, str] = {}
