@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,7 +58,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
     for batch in batches:
         if not batch.num_rows:
             continue
-        lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), np.int64)
+        lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
         part = np.cumsum(lengths) // most
         edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(edges, edges[1:]):
@@ -66,18 +67,18 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
 
 def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 of a string column as one byte array, and n + 1 offsets; null counts as empty."""
-    array = pa.compute.fill_null(array, "").cast(pa.large_string())
+    array = pc.fill_null(array, "").cast(pa.large_string())
     offsets = np.frombuffer(array.buffers()[1], np.int64)[array.offset : array.offset + len(array) + 1]
     data = array.buffers()[2]
     buf = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
     return buf, offsets - offsets[0]
 
 
-def words_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words_of(buf: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of each word [^\\x20\\x09-\\x0D]+, and for each text the index of its first word (n + 1)."""
     if not len(buf):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    ink = ~SPACE[buf]
+    ink = ~space[buf]
     before = np.empty_like(ink)
     before[0], before[1:] = False, ink[:-1]
     after = np.empty_like(ink)
@@ -121,5 +122,15 @@ def ranged(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
+#: What each byte counts as in a hash.
+SPREAD = mixed(np.arange(1, 257, dtype=U64))
+
+
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return ranged(prefix(mixed(np.arange(1, 257, dtype=U64))[buf]), starts, ends)
+    return ranged(prefix(SPREAD[buf]), starts, ends)
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; numpy's own `unique` hashes, which is many times slower on integers."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values

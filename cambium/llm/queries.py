@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from cambium.llm.decontaminate import op2_decontaminate
 from cambium.llm.language import op8_language
+from cambium.llm.mixing import op4_mixing
 from cambium.llm.pii import op3_pii
+from cambium.llm.quality import op10_quality
 from cambium.llm.secrets import op5_secrets
 from cambium.llm.simhash import op7_simhash
+from cambium.llm.toxicity import op6_toxicity
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op3_pii": op3_pii, "op5_secrets": op5_secrets, "op7_simhash": op7_simhash, "op8_language": op8_language}
+QUERIES = {
+    "op2_decontaminate": op2_decontaminate,
+    "op3_pii": op3_pii,
+    "op4_mixing": op4_mixing,
+    "op5_secrets": op5_secrets,
+    "op6_toxicity": op6_toxicity,
+    "op7_simhash": op7_simhash,
+    "op8_language": op8_language,
+    "op10_quality": op10_quality,
+}
 
 ORACLES: dict[str, str] = {}
