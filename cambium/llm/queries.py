@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from cambium.llm import topk
 from cambium.llm.decontaminate import op2_decontaminate
 from cambium.llm.language import op8_language
 from cambium.llm.mixing import op4_mixing
@@ -19,7 +20,8 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
     "op8_language": op8_language,
+    "op9_topk": topk.op9_topk,
     "op10_quality": op10_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_topk": topk.ORACLE}
