@@ -10,9 +10,11 @@ from cambium.llm.pii import op3_pii
 from cambium.llm.quality import op10_quality
 from cambium.llm.secrets import op5_secrets
 from cambium.llm.simhash import op7_simhash
+from cambium.llm.substrings import op1_substrings
 from cambium.llm.toxicity import op6_toxicity
 
 QUERIES = {
+    "op1_substrings": op1_substrings,
     "op2_decontaminate": op2_decontaminate,
     "op3_pii": op3_pii,
     "op4_mixing": op4_mixing,
