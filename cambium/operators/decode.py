@@ -42,10 +42,15 @@ def cover_index(column: pa.Array, strict: bool = False) -> Iterator[tuple[np.nda
 
 def _nested(values: np.ndarray, kind: pa.DataType) -> pa.Array:
     """(n, T) or (n, T, K) as lists."""
-    out = pa.array(np.ascontiguousarray(values).ravel(), kind)
+    for _ in values.shape[1:]:
+        kind = pa.list_(kind)
+    if not values.shape[1]:
+        return pa.array([[]] * values.shape[0], kind)
+    out = pa.array(np.ascontiguousarray(values).ravel())
     for size in reversed(values.shape[1:]):
-        out = pa.FixedSizeListArray.from_arrays(out, size).cast(pa.list_(out.type)) if size else pa.array([[]] * values.shape[0], pa.list_(kind))
-    return out
+        edges = np.arange(len(out) // size + 1) * size
+        out = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), out)
+    return out.cast(kind)
 
 
 def quantised(p: np.ndarray) -> np.ndarray:
