@@ -157,7 +157,7 @@ def _words(wanted: DataFrame, docs: DataFrame, window: int) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["anchor", "ctx", "n", "m", "hot", "words"])
 
-    joined = docs.select("key", "doc_id", "text").join(lists, "key")
+    joined = docs.select("key", "doc_id", "text").join(lists.hint("shuffle_hash"), "key")  # texts aren't sorted
     return joined.mapInArrow(run, "anchor long, ctx long, n int, m long, hot boolean, words binary")
 
 
@@ -262,8 +262,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, text_out: str = "kept_text
 
     schema = T.StructType([*kept.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField(text_out, T.StringType())])
     if set(names) == {"doc_id", "text"}:
-        return slim.join(spans.withColumnRenamed("spans", found), "key", "left").mapInArrow(run, schema)
-    return kept.withColumn(k, key).join(spans.select(F.col("key").alias(k), F.col("spans").alias(found)), k, "left").mapInArrow(run, schema)
+        return slim.join(spans.withColumnRenamed("spans", found).hint("shuffle_hash"), "key", "left").mapInArrow(run, schema)
+    return kept.withColumn(k, key).join(spans.select(F.col("key").alias(k), F.col("spans").alias(found)).hint("shuffle_hash"), k, "left").mapInArrow(run, schema)
 
 
 def remove_reference(docs: DataFrame, reference: DataFrame, window: int = 35) -> DataFrame:
