@@ -103,22 +103,51 @@ class Shard:
     def matches(self, text: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """(text index, item, start, end, edits): for each text and item the match with the fewest edits, the first of such."""
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        inexact = []
         for doc, item, band, _ in self.bands(text, offsets):
-            stride, pattern = int(self.stride[item]), self.texts[item]
-            low = band * stride - (1 << 20)
-            a, b = max(low, int(offsets[doc])), min(low + 2 * stride + len(pattern), int(offsets[doc + 1]))
-            if (old := best.get((doc, item))) and old[0] == 0:
-                continue
-            region = text[a:b].tobytes()
-            if (exact := region.find(pattern)) >= 0:
-                found = (0, a + exact, a + exact + len(pattern))
-            elif (found := aligned(pattern, region, int(self.budget[item]))) is not None:
-                found = (found[2], a + found[0], a + found[1])
-            if found and (old is None or found < old):
-                best[doc, item] = found
+            low = band * int(self.stride[item]) - (1 << 20)
+            a, b = max(low, int(offsets[doc])), min(low + 2 * int(self.stride[item]) + len(self.texts[item]), int(offsets[doc + 1]))
+            if (exact := text[a:b].tobytes().find(self.texts[item])) < 0:
+                inexact.append((doc, item, low, a, b))
+            elif (doc, item) not in best or a + exact < best[doc, item][1]:
+                best[doc, item] = 0, a + exact, a + exact + len(self.texts[item])
+        inexact = [x for x in inexact if x[:2] not in best]
+        for at in range(0, len(inexact), 256):
+            part = inexact[at : at + 256]
+            for (doc, item, _, a, b), edits in zip(part, self.banded(text, part).tolist()):
+                if edits <= self.budget[item] and ((old := best.get((doc, item))) is None or (edits, a) < old[:2]):
+                    start, end, edits = placed(self.texts[item], text[a:b].tobytes())
+                    if old is None or (edits, a + start) < old[:2]:
+                        best[doc, item] = edits, a + start, a + end
         for (doc, item), (edits, a, b) in best.items():
             yield doc, item, a, b, edits
 
+    def banded(self, text: np.ndarray, candidates: list[tuple[int, int, int, int, int]]) -> np.ndarray:
+        """Fewest edits of each candidate (text, item, lowest diagonal, from, to) on the diagonals of its band.
+
+        All candidates advance together, a row of the pattern at a time; a cell (row, diagonal) follows from the same
+        diagonal, the next one in the row before, and the one before in the same row.
+        """
+        items = [c[1] for c in candidates]
+        sizes = np.array([len(self.texts[i]) for i in items])
+        most, width = int(sizes.max()), 2 * int(self.stride[items].max()) + 1
+        pattern = np.zeros((len(items), most), np.uint8)
+        for row, i in enumerate(items):
+            pattern[row, : len(self.texts[i])] = np.frombuffer(self.texts[i], np.uint8)
+        low, start, end = (np.array([c[x] for c in candidates])[:, None] for x in (2, 3, 4))
+        at = low + np.arange(most + width)
+        region = np.where((at >= start) & (at < end), text[np.clip(at, 0, len(text) - 1)], 255)  # no byte of UTF-8
+        step = np.arange(width, dtype=np.int32)
+        row, out = np.zeros((len(items), width), np.int32), np.zeros(len(items), np.int32)
+        for i in range(most):
+            new = row + (region[:, i : i + width] != pattern[:, i, None])
+            np.minimum(new[:, :-1], row[:, 1:] + 1, out=new[:, :-1])
+            row = np.minimum.accumulate(new - step, axis=1) + step
+            ended = sizes == i + 1
+            if ended.any():
+                out[ended] = row[ended].min(1)
+        return out
+
 
 def slot(keys: np.ndarray, size: int) -> np.ndarray:
     return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - size.bit_length() + 1)).astype(np.int64)
@@ -136,16 +165,12 @@ def _ends(pattern: np.ndarray, text: np.ndarray) -> np.ndarray:
     return row
 
 
-def aligned(pattern: bytes, region: bytes, budget: int) -> tuple[int, int, int] | None:
-    """(start, end, edits) of the best alignment of the pattern within a band's region, None above the budget.
-
-    The region is one diagonal band wide beyond the pattern, which makes this the banded alignment: (m + 2s) x m cells.
-    """
+def placed(pattern: bytes, region: bytes) -> tuple[int, int, int]:
+    """(start, end, edits) of the best alignment of the pattern within a region."""
     p, t = np.frombuffer(pattern, np.uint8), np.frombuffer(region, np.uint8)
     ends = _ends(p, t)
     end = int(ends.argmin())
-    if (edits := int(ends[end])) > budget:
-        return None
+    edits = int(ends[end])
     back = _ends(p[::-1], t[:end][::-1])
     return end - int(np.flatnonzero(back == edits)[0]), end, edits
 
