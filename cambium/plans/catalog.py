@@ -151,7 +151,12 @@ def hard_transitions(spark, sf):
 
 
 def tiles(spark, sf):
-    return panel.tiles(spark, 10, fx.WIDTH, fx.TILE)
+    height = fx.cells(spark, sf).agg(F.max("r")).first()[0] + 1
+    return panel.tiles(spark, height, fx.WIDTH, fx.TILE)
+
+
+def raster_window(spark, sf):
+    return rasters.window(fx.cells(spark, sf).where("mask > 0").select("r", "c", F.col("mask").alias("value")), 0, 2, 8, 9)
 
 
 def tile_filter(spark, sf):
@@ -263,6 +268,6 @@ QUERIES = {
         transition_mstep, beta_suffstats, em_fit, first_year_products, max_state, year_state_summary, first_year_summary, hard_transitions,
         tiles, tile_filter, masked_cells, masked_cells_strict, em_sample, seed_distance, focal_mean, covariate_join, covariate_stack,
         covariate_lag, dynamic_log_trans, dynamic_log_trans_sql, dynamic_viterbi, weight_fit, grid_offset, alignment_check, zero_fill,
-        mosaic, work_items, memory_estimate,
+        raster_window, mosaic, work_items, memory_estimate,
     )
 }

@@ -81,7 +81,8 @@ ORACLES = {
     "year_state_summary": _sql(*_VIT, select="SELECT CAST(t + 1986 AS INTEGER) AS year, CAST(k AS INTEGER) AS state, count(*) FILTER (state = k) AS n, count(state) AS n_valid, count(*) FILTER (state IS NULL) AS n_nodata, round(count(*) FILTER (state = k) / greatest(count(state), 1)::DOUBLE, 6) AS fraction FROM decoded, range(0, 6) q(k) GROUP BY t, k"),
     "first_year_summary": _sql(*_VIT, YEARS, select="SELECT product, count(*) AS n_pixels, round(avg(y), 6) AS mean, median(y)::DOUBLE AS median, min(y) AS min, max(y) AS max FROM (UNPIVOT (SELECT first_trace, first_sparse, first_open, first_woodland, first_forest FROM yr) ON COLUMNS(*) INTO NAME product VALUE y) GROUP BY product"),
     "hard_transitions": _sql(*_VIT, select="SELECT a.state AS i, b.state AS j, count(*) AS n FROM decoded a JOIN decoded b ON a.pid = b.pid AND b.t = a.t + 1 GROUP BY 1, 2"),
-    "tiles": "SELECT CAST(r * 4 + c AS INTEGER) AS tile_id, CAST(r * 4 AS INTEGER) AS row_off, CAST(c * 4 AS INTEGER) AS col_off, CAST(least(4, 10 - r * 4) AS INTEGER) AS height, CAST(least(4, 15 - c * 4) AS INTEGER) AS width, CAST(least(4, 10 - r * 4) * least(4, 15 - c * 4) AS INTEGER) AS n_pixels FROM range(0, 3) q(r), range(0, 4) q2(c)",
+    "tiles": _sql(CELLS, "h AS (SELECT max(r) + 1 AS h FROM cells)", "g AS (SELECT CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, least(4, h - r * 4) AS height, least(4, 15 - c * 4) AS width FROM range(0, 10000) q(r), range(0, 4) q2(c), h WHERE r * 4 < h)", select="SELECT CAST(r * 4 + c AS INTEGER) AS tile_id, CAST(r * 4 AS INTEGER) AS row_off, CAST(c * 4 AS INTEGER) AS col_off, CAST(height AS INTEGER) AS height, CAST(width AS INTEGER) AS width, CAST(height * width AS INTEGER) AS n_pixels FROM g"),
+    "raster_window": _sql(CELLS, select="SELECT CAST(a.r AS INTEGER) AS r, CAST(b.c AS INTEGER) AS c, CAST(coalesce(mask, 0) AS INTEGER) AS value FROM range(0, 8) a(r) CROSS JOIN range(2, 11) b(c) LEFT JOIN cells ON cells.r = a.r AND cells.c = b.c AND mask > 0"),
     "tile_filter": _sql(CELLS, KEPT, select="SELECT tile_id, n_cells, n_valid FROM kept"),
     "masked_cells": _sql(CELLS, KEPT, select="SELECT pid, r, c, tile_id FROM cells WHERE mask > 0 AND mask != 255 AND tile_id IN (SELECT tile_id FROM kept)"),
     "masked_cells_strict": _sql(CELLS, select="SELECT pid, r, c, tile_id FROM cells WHERE mask > 0 AND tile_id IN (SELECT tile_id FROM cells GROUP BY 1 HAVING count(*) FILTER (mask > 0) >= 0.01 * count(*))"),

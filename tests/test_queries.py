@@ -26,7 +26,7 @@ def agree(ours, theirs) -> bool:
     return len(a) == len(b) and all(((a[n] == b[n]) | (a[n].isna() & b[n].isna())).all() for n in names)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.ORACLES) - {"tiles"}))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_equals_sql(spark, duck, name):
     assert agree(catalog.QUERIES[name](spark, SF).toPandas(), duck.sql(catalog.ORACLES[name]).df())
 
