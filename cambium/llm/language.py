@@ -58,6 +58,7 @@ def fit(docs: DataFrame, dictionary_bytes: int = 64 << 10, sample_docs: int = 16
 
     Only text and non-null lang are used, of rows that `held_out` doesn't hold out; rows with a null or empty text or
     lang aren't sampled, and equal texts count once. The sample is by hash, so it doesn't depend on the order of rows.
+    Runs of another language within the sample are left out, see `cleaned`.
     """
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -66,11 +67,43 @@ def fit(docs: DataFrame, dictionary_bytes: int = 64 << 10, sample_docs: int = 16
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 1.5 * sample_docs / n)))])
     sample = rows.where(draw < F.element_at(share, F.col("lang"))).select("lang", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, sample_chars).alias("text")).collect()
-    out = []
-    for lang in sorted(counts):
-        texts = dict.fromkeys(r["text"].lower() for r in sorted((r for r in sample if r["lang"] == lang), key=lambda r: (r["h"], r["text"])))
-        out.append((lang, b"\n".join(t.encode() for t in list(texts)[:sample_docs])[:dictionary_bytes]))
-    return LanguageModel(tuple(x for x in out if len(x[1]) >= 8))
+    texts: dict[str, list[str]] = {lang: [] for lang in sorted(counts)}
+    for r in sorted(sample, key=lambda r: (r["lang"], r["h"], r["text"])):
+        texts[r["lang"]].append(r["text"].lower())
+    return cleaned({lang: list(dict.fromkeys(t))[:sample_docs] for lang, t in texts.items()}, dictionary_bytes)
+
+
+def _model(lines: dict[str, list[str]], dictionary_bytes: int) -> LanguageModel:
+    packed = ((lang, "\n".join(x).encode()[:dictionary_bytes]) for lang, x in sorted(lines.items()))
+    return LanguageModel(tuple(x for x in packed if len(x[1]) >= 8))
+
+
+def cleaned(texts: dict[str, list[str]], dictionary_bytes: int, words: int = 16, passes: int = 2) -> LanguageModel:
+    """Dictionaries without runs of `words` words that look like another language, such as quotations and licences.
+
+    Each half of a language's texts is judged by dictionaries of the other halves; runs that compress clearly better as
+    another language are left out of the dictionaries. The next pass judges by what was left. Lines that the samples of
+    two languages share are left out at once.
+    """
+    owners: dict[str, set[str]] = {}
+    for lang, x in texts.items():
+        for line in {line for t in x for line in t.splitlines()}:
+            owners.setdefault(line, set()).add(lang)
+    own = {lang: [" ".join(line for line in t.splitlines() if len(owners[line]) == 1) for t in x] for lang, x in texts.items()}
+    halves = [{lang: [" ".join(w[j : j + words]) for t in x[i::2] if (w := t.split()) for j in range(0, len(w), words)] for lang, x in own.items()} for i in (0, 1)]
+    for _ in range(passes):
+        judges = [_model(half, dictionary_bytes) for half in halves]
+        halves = [{lang: _fitting(lang, runs, judge) for lang, runs in half.items()} for half, judge in zip(halves, judges[::-1])]
+    return _model({lang: halves[0][lang] + halves[1][lang] for lang in texts}, dictionary_bytes)
+
+
+def _fitting(lang: str, runs: list[str], judge: LanguageModel) -> list[str]:
+    compressors, out = judge.compressors(), []
+    for run in runs:
+        found, _, margin = judge.predict(run, compressors)
+        if found in (lang, UNKNOWN) or margin < judge.margin:
+            out.append(run)
+    return out
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
