@@ -235,7 +235,7 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, count: str | None = None) ->
     occurrences = durable(docs.select("text").mapInArrow(occurring, "h string, kind string, normal string").distinct())
     made = surrogates(occurrences, key)
     of_text = occurrences.join(made, ["kind", "normal"]).groupBy("h").agg(F.collect_list(F.struct("kind", "normal", "surrogate")).alias(surr)).withColumnRenamed("h", h)
-    some = _having(docs, True).withColumn(h, F.sha2(F.col("text"), 256)).join(of_text, h)
+    some = _having(docs, True).withColumn(h, F.sha2(F.col("text"), 256)).join(of_text.hint("shuffle_hash"), h)
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, *([T.StructField(count, T.IntegerType())] if count else [])])
 

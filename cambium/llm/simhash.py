@@ -87,17 +87,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col:
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 2) -> DataFrame:
-    """docs with one row of each component: that of its smallest doc_id (the first of equal ids by its text).
+    """docs with one row of each component: that of its smallest doc_id (of equal ids, the one with the least text hash).
 
-    Rows with a null doc_id can't be named by a component: all of them stay.
+    Rows with a null doc_id can't be named by a component: all of them stay. Rows that repeat both id and text leave
+    one. Texts are shuffled once, to meet the ids that stay, and not sorted: ids are the build side of a hash join.
     """
-    of_each = near_duplicates(docs, shingle, radius)
-    keep = of_each.where("id is not null").groupBy("component").agg(F.min("id").alias("doc_id")).select("doc_id")
-    named = docs.join(keep, "doc_id", "left_semi").select(docs.columns)
-    repeated = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns if c != "doc_id"])
-    nth = fresh("nth")
-    one = named.withColumn(nth, F.row_number().over(repeated)).where(F.col(nth) == 1).drop(nth)
-    return one.unionByName(docs.where("doc_id is null"))
+    h, n = fresh("hash"), fresh("n")
+    named = docs.where("doc_id is not null").withColumn(h, F.xxhash64("text"))
+    of_each = near_duplicates(named, shingle, radius)
+    first = of_each.groupBy("component").agg(F.min("id").alias("doc_id"))
+    keep = named.select("doc_id", h).join(first.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id", h).agg(F.count("*").alias(n))
+    keep = durable(keep.groupBy("doc_id").agg(F.min(F.struct(h, n)).alias("m")).select("doc_id", f"m.{h}", f"m.{n}"))
+    ids = keep.select("doc_id", h).hint("shuffle_hash")
+    stay = named.join(ids, ["doc_id", h], "left_semi")
+    if not (twice := keep.where(F.col(n) > 1)).isEmpty():
+        twice = twice.select("doc_id", h)
+        stay = stay.join(twice, ["doc_id", h], "left_anti").unionByName(stay.join(twice, ["doc_id", h], "left_semi").dropDuplicates(["doc_id", h]))
+    return stay.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
