@@ -193,7 +193,7 @@ def _counted(contexts: DataFrame, window: int) -> DataFrame:
     """The masks of contexts of hot anchors, whose shard could outgrow a task: windows are counted one by one."""
     words = F.split(F.col("words").cast("string"), " ")
     each = contexts.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("anchor", "ctx", "m", "i", F.sha2(F.array_join(F.slice(words, F.col("i") + 1, window), " "), 256).alias("w"))
-    twice = each.groupBy("w").agg(F.sum("m").alias("total")).where("total > 1").select("w")
+    twice = stored(each.groupBy("w").agg(F.sum("m").alias("total")).where("total > 1").select("w"))  # so that Spark can split a frequent w
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("i"))
     return each.join(twice, "w", "left_semi").groupBy("anchor", "ctx").agg(F.bit_or(bit).alias("mask"))
 
