@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,23 +13,16 @@ from pyspark.sql.window import Window
 
 from cambium.llm.common import batched, durable, fresh
 from cambium.llm.components import connected_components
+from cambium.llm.shingles import components, shingle_hashes
 
 BITS = 64
 
 
 def fingerprint(text: bytes, shingle: int) -> int:
     """SimHash of one text: A-Z lower-cased, words between ASCII white space, XXH64 with seed 42 of each shingle."""
-    words = text.lower().split()
-    if not words:
+    hashes = shingle_hashes(text, shingle)
+    if not hashes:
         return 0
-    if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), 42)]
-    else:
-        line = b" ".join(words)
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(lengths + 1) - 1
-        starts = (ends - lengths)[: len(words) - shingle + 1].tolist()
-        hashes = [xxhash.xxh64_intdigest(line[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist())]
     count, raw = np.zeros(BITS, np.int64), np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8)
     for at in range(0, len(raw), 1 << 16):
         count += np.unpackbits(raw[at : at + (1 << 16)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -86,18 +78,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col:
     return prints.join(of_class, "fp").select("id", "fp", "component")
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 2) -> DataFrame:
-    """docs with one row of each component: that of its smallest doc_id (of equal ids, the one with the least text hash).
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """docs with one row of each component of similar texts (see `shingles`): that of its smallest doc_id.
 
     Rows with a null doc_id can't be named by a component: all of them stay. Rows that repeat both id and text leave
     one. Texts are shuffled once, to meet the ids that stay, and not sorted: ids are the build side of a hash join.
     """
     h, n = fresh("hash"), fresh("n")
     named = docs.where("doc_id is not null").withColumn(h, F.xxhash64("text"))
-    of_each = near_duplicates(named, shingle, radius)
-    first = of_each.groupBy("component").agg(F.min("id").alias("doc_id"))
-    keep = named.select("doc_id", h).join(first.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id", h).agg(F.count("*").alias(n))
-    keep = durable(keep.groupBy("doc_id").agg(F.min(F.struct(h, n)).alias("m")).select("doc_id", f"m.{h}", f"m.{n}"))
+    group = components(named.select(F.col(h).alias("h"), "text"), shingle).withColumnRenamed("h", h)
+    first = named.groupBy("doc_id", h).agg(F.count("*").alias(n)).join(group, h).groupBy("component").agg(F.min(F.struct("doc_id", h, n)).alias("m"))
+    keep = durable(first.groupBy("m.doc_id").agg(F.min(F.struct(f"m.{h}", f"m.{n}")).alias("m")).select("doc_id", f"m.{h}", f"m.{n}"))
     ids = keep.select("doc_id", h).hint("shuffle_hash")
     stay = named.join(ids, ["doc_id", h], "left_semi")
     if not (twice := keep.where(F.col(n) > 1)).isEmpty():

@@ -18,8 +18,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the smallest doc_id, of each group of SimHash near-duplicates over five-word shingles."""
-    return simhash.drop_near_duplicates(docs, shingle=5, radius=2)
+    """One document, of the smallest doc_id, of each group that links of Jaccard similarity 0.8 or more over five-word shingles connect."""
+    return simhash.drop_near_duplicates(docs, shingle=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -182,3 +182,54 @@ def test_pipeline_takes_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def near_dedup_by_all_pairs(rows):
+    """doc_ids that stay: the smallest of each component of all pairs with five-word Jaccard >= 0.8."""
+    sets = {}
+    for i, text in rows:
+        words = (text or "").encode().lower().split()
+        sets[i] = frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4)))
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(sets[i], i)
+    ids = sorted(first.values())
+    root = {i: i for i in ids}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            x, y = sets[a], sets[b]
+            if 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)) and 5 * len(x & y) >= 4 * len(x | y):
+                low, high = sorted((top(a), top(b)))
+                root[high] = low
+    return {i for i in ids if root[i] == i}
+
+
+def test_near_dedup_against_all_pairs(spark, monkeypatch):
+    """Both directions: no two similar documents stay, no unlike document goes; edits of 1 to 40 % are planted."""
+    import corpus_pipeline
+    from cambium.llm import shingles
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    rng = np.random.default_rng(11)
+    long = [r for r in rows if r[1] and 60 <= len(r[1].split()) <= 600][:60]
+    for k, r in enumerate(x for x in long for _ in range(3)):
+        words = r[1].split()
+        for at in rng.integers(0, len(words), max(1, len(words) * (k % 8) // 100)):
+            words[at] = f"edit{k}"
+        rows.append((1_000_000 + k, " ".join(words), *r[2:]))
+    common = " ".join(f"line{i}" for i in range(40))
+    rows += [(2_000_000 + k, f"{common} {' '.join(f'own{k}x{j}' for j in range(k))}", "en", "s", 0) for k in range(30)]
+    want = near_dedup_by_all_pairs([r[:2] for r in rows])
+    frame = spark.createDataFrame(rows, docs.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    for frequent in (shingles.FREQUENT, 3):
+        monkeypatch.setattr(shingles, "FREQUENT", frequent)
+        got = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, frame, SF).select("doc_id").collect()}
+        assert got == want
+    assert 50 < sum(i >= 1_000_000 for i, *_ in rows) - sum(i >= 1_000_000 for i in want) < 210
