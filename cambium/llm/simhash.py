@@ -81,14 +81,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col:
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """docs with one row of each component of similar texts (see `shingles`): that of its smallest doc_id.
 
-    Rows with a null doc_id can't be named by a component: all of them stay. Rows that repeat both id and text leave
+    A row counts by id and text, so unlike texts under one doc_id both stay; of one component, the least text hash. Rows with a null doc_id can't be named by a component: all of them stay. Rows that repeat both id and text leave
     one. Texts are shuffled once, to meet the ids that stay, and not sorted: ids are the build side of a hash join.
     """
     h, n = fresh("hash"), fresh("n")
     named = docs.where("doc_id is not null").withColumn(h, F.xxhash64("text"))
     group = components(named.select(F.col(h).alias("h"), "text"), shingle).withColumnRenamed("h", h)
     first = named.groupBy("doc_id", h).agg(F.count("*").alias(n)).join(group, h).groupBy("component").agg(F.min(F.struct("doc_id", h, n)).alias("m"))
-    keep = durable(first.groupBy("m.doc_id").agg(F.min(F.struct(f"m.{h}", f"m.{n}")).alias("m")).select("doc_id", f"m.{h}", f"m.{n}"))
+    keep = durable(first.select("m.doc_id", f"m.{h}", f"m.{n}"))
     ids = keep.select("doc_id", h).hint("shuffle_hash")
     stay = named.join(ids, ["doc_id", h], "left_semi")
     if not (twice := keep.where(F.col(n) > 1)).isEmpty():

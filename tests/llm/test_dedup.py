@@ -164,3 +164,13 @@ def test_op7_on_odd_rows(odd_docs, no_docs):
     rows = [r["doc_id"] for r in stay.collect()]
     assert rows.count(None) == 2 and rows.count(5) == 1 and 6 not in rows and 1 not in rows and {0, 3, 4, 8} <= set(rows)
     assert simhash.drop_near_duplicates(no_docs).count() == 0
+
+
+def test_unlike_texts_under_one_id_both_stay(spark):
+    one, two = (" ".join(f"{w}{i}" for i in range(40)) for w in "ab")
+    rows = [(5, one), (5, two), (3, two), (7, one + " tail"), (5, one)]
+    got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == [(3, two), (5, one)]
+    rows = [(5, one), (5, two), (5, one + " tail")]
+    got = [r["text"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(got) == 2 and two in got
