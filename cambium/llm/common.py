@@ -12,8 +12,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch; a batch of texts is cut further by bytes, see `slices`.
-BATCH_ROWS = 512
+#: Bytes of an Arrow batch on its way to Python (a longer row stands alone); a batch of texts is cut further, see `slices`.
+BATCH_BYTES = 4 << 20
+#: Slots of the bitmap of `told_apart`: 2**17 rows of 64 at most.
+SLOTS = 1 << 23
 #: Bytes of text that a vectorised kernel works on at once.
 SLICE_BYTES = 2 << 20
 
@@ -31,18 +33,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def batched(spark: SparkSession) -> None:
-    """Small Arrow batches: a batch of whole texts has to fit beside another task's."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Arrow batches of bounded bytes: a batch of whole texts has to fit beside another task's. Batches of few bytes a row, such as series, stay as long as they were."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df cut from its lineage through files that all executors see (spark.checkpoint.dir, set here only if unset)."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where that is unset, a temporary one in local mode; on a cluster an error, as executors don't share local folders."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        chosen = context.getConf().get("spark.checkpoint.dir")
+        if chosen is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(chosen or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """df cut from its lineage through files that all executors see."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def told_apart(rows: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that may be in `keys`, rows that aren't), by a bitmap of the one long column of keys; a null key isn't in it.
+
+    For keys that few rows have: only the first part needs a join, and wide rows of the second aren't shuffled. The
+    bitmap is broadcast as a table of at most SLOTS / 64 rows, whatever the input; once it is full, all rows are in the
+    first part. Both parts together are the rows, each row once.
+    """
+    word, bits, slot = fresh("word"), fresh("bits"), F.pmod(F.xxhash64(F.col(keys.columns[0])), F.lit(SLOTS))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)).cast("int"))
+    table = durable(keys.select(F.call_function("shiftright", slot, F.lit(6)).alias(word), bit(slot).alias("b")).groupBy(word).agg(F.bit_or("b").alias(bits)))
+    own = F.pmod(F.xxhash64(key), F.lit(SLOTS))
+    joined = rows.withColumn(word, F.call_function("shiftright", own, F.lit(6))).join(F.broadcast(table), word, "left")
+    there = F.coalesce(F.col(bits).bitwiseAND(bit(own)) != 0, F.lit(False)) & key.isNotNull()
+    return joined.where(there).select(rows.columns), joined.where(~there).select(rows.columns)
+
+
 def fresh(name: str) -> str:
     """A column name that clashes with none of a caller's."""
     return f"_{name}_{uuid.uuid4().hex[:8]}"
@@ -138,9 +165,6 @@ def distinct(values: np.ndarray) -> np.ndarray:
 
 def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet in the shared checkpoint folder and read again: smaller than a checkpoint, as durable."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -195,3 +195,39 @@ def test_op8_pieces_cover_the_whole_text(model):
     texts = {lang: content.decode(errors="ignore") for lang, content in model.dictionaries}
     one, other = sorted(texts)[:2]
     assert model.predict(texts[one][:1500] + texts[other][:30_000], c)[0] == other
+
+
+def test_op3_exhausted_formats_give_nothing_away(spark):
+    """Every address of one-digit octets occurs, and every recognised male name: no original value is in any output."""
+    octets = [f"{i % 9 + 1}.{i // 9 % 9 + 1}.{i // 81 % 9 + 1}.{i // 729 + 1}" for i in range(9**4)]
+    people = [f"{n} Smith" for n in pii.KNOWN["m"] + pii.KNOWN["f"]] + ["Wei Zhang"]
+    rows = [(i, f"from {x} end") for i, x in enumerate(octets)] + [(10_000 + i, f"so {x} said") for i, x in enumerate(people)]
+    got = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), b"k").collect()
+    real = set(octets)
+    new = [r["text"].split()[1] for r in got if r["doc_id"] < 10_000]
+    assert len(set(new)) == len(new) == 9**4 and not real & set(new) and all(re.fullmatch(r"[0-9]+(\.[0-9]+){3,}", x) for x in new)
+    first = [r["text"].split()[1] for r in got if r["doc_id"] >= 10_000]
+    known = {n.casefold() for names in pii.KNOWN.values() for n in names}
+    assert len(first) == len(people) and not known & {x.casefold() for x in first} and len(set(first)) == len({x.split()[0] for x in people})
+
+
+def test_op3_recall_of_names_and_addresses():
+    cues = ["My name is {}.", "please contact {} today", "Signed by\n{}", "Dear {}, hello", "Mr {} left", "Prof. {} spoke", "меня зовут {}"]
+    names = ["Geraldine Hopkins", "Xochitl Umaña", "Thandiwe Nkosi", "Olga Petrova", "Bjørn Ødegård", "Łukasz Żak", "Юрий Гагарин", "Ξένια Αλεξίου"]
+    missed = [(c, n) for c in cues for n in names if "".join(c.format(n)[a:b] for a, b, *_ in pii.entities(c.format(n))) != n.replace(" ", "")]
+    assert not missed
+    assert len(pii.entities("so Wei Zhang and Olga Petrova met Amit Rao")) == 6
+    assert len(pii.entities("we saw Thandiwe Nkosi", {"Thandiwe": "f"})) == 2 and not pii.entities("the Public License of Old Town")
+    for text, kind in (("à señ.55@mail7.example.com", "email"), ("müller.3@mail1.example.de", "email"), ("+33 6 12 34 56 78", "phone"), ("01 42 68 53 00", "phone"), ("+19385550822", "phone")):
+        (a, b, k, _), = pii.entities(f"x {text.split(' ', 1)[1] if text[0] == 'à' else text} y")
+        assert k == kind and b - a == len(text.removeprefix("à "))
+    new = pii.surrogate(b"k", "email", "señ.55@mail7.example.com", 0)
+    assert re.fullmatch(r"[a-z]{3}\.[0-9]{2}@[a-z]{4}[0-9]\.[a-z]{7}\.com", new)
+
+
+def test_op3_key_and_clashing_count(spark, odd_docs):
+    docs = spark.createDataFrame([(1, "from 10.20.30.40 to x@y.com", "clash")], "doc_id long, text string, n_entities string")
+    one, two = (pii.pseudonymise(docs, k, count="n_entities").first() for k in (b"a", b"b"))
+    assert one["n_entities"] == two["n_entities"] == 2 and one["text"] != two["text"]
+    with pytest.warns(UserWarning, match="surrogate"):
+        pii.key_of(spark)
