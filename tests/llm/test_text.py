@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -231,3 +233,63 @@ def test_op3_key_and_clashing_count(spark, odd_docs):
     assert one["n_entities"] == two["n_entities"] == 2 and one["text"] != two["text"]
     with pytest.warns(UserWarning, match="surrogate"):
         pii.key_of(spark)
+
+
+def battery(token):
+    """p-value of the three tests, plainly; None of a token that isn't tested."""
+    if not (re.search("[0-9]", token) and re.search("[A-Za-z]", token)) or re.search("[0-9a-f]{16}|AKIA[A-Z0-9]{14}", token):
+        return None
+    alphabet = next((a for _, p, a in secrets.ENCODINGS if re.match(p, token)), None)
+    if alphabet is None:
+        return None
+    n, k = len(token), len(alphabet)
+    ordered = sorted(alphabet, key=lambda c: (not c.islower(), not c.isdigit(), not c.isupper(), "etaoinshrdlucmfwypvbgkjqxz".find(c.lower()), c))
+    g = min(k, max(3, n // 5))
+    cell = {c: i * g // k for i, c in enumerate(ordered)}
+    expected = [n * sum(x == j for x in cell.values()) / k for j in range(g)]
+    chi = sum((sum(cell[c] == j for c in token) - e) ** 2 / e for j, e in enumerate(expected))
+    d = g - 1
+    upper = math.erfc(((chi / d) ** (1 / 3) - (1 - 2 / (9 * d))) / math.sqrt(2 / (9 * d)) / math.sqrt(2)) / 2
+    v = [alphabet.index(c) for c in token]
+    high = [x >= k / 2 for x in v]
+    runs, mu = 1 + sum(a != b for a, b in zip(high, high[1:])), 1 + 2 * sum(high) * (n - sum(high)) / n
+    turns = 0.0 if mu <= 1 else math.erfc(abs(runs - mu) / math.sqrt((mu - 1) * (mu - 2) / (n - 1)) / math.sqrt(2))
+    mean = sum(v) / n
+    serial = sum((a - mean) * (b - mean) for a, b in zip(v, v[1:])) / max(sum((a - mean) ** 2 for a in v), 1e-9)
+    return min(1.0, 3 * min(upper, turns, math.erfc(abs(serial) * math.sqrt(n) / math.sqrt(2))))
+
+
+def test_op5_random_spans_against_a_plain_battery(spark):
+    """Tokens of 16 characters on, in all encodings, names, and some beside base spans; recall and false alarms are in the README."""
+    rng = random.Random(9)
+    stock = "account backup cluster data engine final group handler index journal kernel ledger module number object parser query report schema table user version window".split()
+    alphabets = [a for _, _, a in secrets.ENCODINGS]
+    docs = []
+    for i in range(600):
+        word = "_".join(rng.choice(stock) for _ in range(rng.randint(2, 6))) + str(rng.randrange(10, 100))
+        token = "".join(rng.choice(alphabets[i % len(alphabets)]) for _ in range(16 + i % 50))
+        docs.append((i, f"é {token}, {word}. api_key={token[:12]} !"))
+    found = {r["doc_id"]: [(x["s"], x["e"]) for x in r["secrets"] if x["kind"] == "random"] for r in secrets.scan(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()}
+    tokens = [(i, m.start(), m.end(), battery(m[0])) for i, t in docs for m in re.finditer(r"[A-Za-z0-9+/_-]{16,}", t)]
+    limit, classes = {}, {}
+    for _, a, b, p in tokens:
+        if p is not None:
+            classes.setdefault(math.floor(math.log2(b - a) * 2), []).append(min(320, math.floor(-math.log(max(p, 1e-300)) * 8)))
+    for c, bins in classes.items():
+        passing = [b for b in set(bins) if math.exp(-b / 8) <= secrets.RATE * 2.0 ** (10 - c) * sum(x >= b for x in bins) / len(bins)]
+        limit[c] = min(passing, default=321)
+    want = {i: [] for i, _ in docs}
+    for i, a, b, p in tokens:
+        base = base_spans(docs[i][1])
+        if p is not None and min(320, math.floor(-math.log(max(p, 1e-300)) * 8)) < limit[math.floor(math.log2(b - a) * 2)] and not any(s < b and a < e for s, _, e in base):
+            want[i].append((a, b))
+    assert found == want
+    long = [(i, len(t.split(",")[0]) - 2) for i, t in docs if battery(t.split(",")[0][2:]) is not None]
+    assert sum((2, 2 + n) in found[i] for i, n in long) > 0.95 * len(long)
+
+
+def test_op5_is_linear(spark):
+    texts = ["a" * 1_000_000, ("g" * 19 + " ") * 25_000, "0123456789abcdef0 " * 25_000, "x_" * 300_000, "password   " * 50_000]
+    began = time.time()
+    got = {r["doc_id"]: r["n"] for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).selectExpr("doc_id", "size(secrets) AS n").collect()}
+    assert got == {0: 1, 1: 0, 2: 25_000, 3: 0, 4: 0} and time.time() - began < 120
