@@ -233,3 +233,38 @@ def test_near_dedup_against_all_pairs(spark, monkeypatch):
         got = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, frame, SF).select("doc_id").collect()}
         assert got == want
     assert 50 < sum(i >= 1_000_000 for i, *_ in rows) - sum(i >= 1_000_000 for i in want) < 210
+
+
+def best_by_brute_force(rows, asks, k):
+    """Sorted (query_id, rank, vec_id, score), every row a candidate but the query's own, in integers."""
+    whole = [(i, [int(np.floor(64 * np.float64(x))) for x in v]) for i, v in rows]
+    want = []
+    for at, (q, v) in enumerate(whole):
+        if asks(q):
+            scores = sorted((-max(-topk.LIMIT, min(topk.LIMIT, sum(a * b for a, b in zip(v, x)))), i) for j, (i, x) in enumerate(whole) if j != at and len(x) == len(v))
+            want += [(q, r, i, -s) for r, (s, i) in enumerate(scores[:k], 1)]
+    return sorted(want)
+
+
+@pytest.mark.parametrize("kind", ["repeated", "ragged", "large", "huge", "chunks", "clustered"])
+def test_op9_odd_vectors_against_brute_force(spark, monkeypatch, kind):
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    rng = np.random.default_rng(5)
+    if kind == "repeated":
+        rows = [(int(i), rng.integers(-2, 3, 3).astype(float).tolist()) for i in rng.integers(0, 40, 120)]
+        rows += rows[:30] + [(20, [9.0, 9.0, 9.0])] * 9 + [(21, [8.0, 9.0, 9.0])] * 3
+    elif kind == "ragged":
+        rows = [(i, rng.normal(size=1 + i % 3).tolist()) for i in range(90)]
+    elif kind == "large":
+        rows = [(i, (rng.normal(size=5) * 10.0**6 + 1e8).tolist()) for i in range(150)]
+    elif kind == "huge":
+        rows = [(i, (rng.normal(size=4) * 10.0 ** rng.integers(0, 30)).tolist()) for i in range(120)]
+    elif kind == "chunks":
+        monkeypatch.setattr(topk, "CHUNK", 6)
+        monkeypatch.setattr(topk, "QUERIES", 2)
+        rows = [(i, rng.normal(size=6).tolist()) for i in range(200)]
+    else:
+        rows = [(i, (np.eye(8)[i % 8] * 5 + rng.normal(size=8) * 0.1).tolist()) for i in range(400)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = topk.search(frame, F.col("vec_id") % 20 == 0, 7).collect()
+    assert sorted(map(tuple, got)) == best_by_brute_force(rows, lambda q: q % 20 == 0, 7)
