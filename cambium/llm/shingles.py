@@ -1,32 +1,40 @@
-"""Components of texts whose sets of word shingles have a Jaccard similarity of 0.8 or more, exactly.
-
-Two sets of n and m shingles with that similarity share at least 0.8 max(n, m) of them, so in any common order of all
-shingles their first n - ceil(0.8 n) + 1 and m - ceil(0.8 m) + 1 have one in common (prefix filter). The order is by
-hash, with shingles that stand in many prefixes last, so that a line of many documents brings few of them together.
+"""Components of texts whose sets of word shingles have a Jaccard similarity of 0.8 or more, by salted ball hashing of SimHashes.
+
+At that similarity about 15 % of the bits of a SimHash differ, too many for one ball around the whole. So fingerprints
+have 256 bits, in blocks of 18, and are compared under salts that similar sets share: the least hash of the set in each
+of eight orders. Sets of a salt are linked in a star first, which settles groups of near copies; only those that are
+left in different components send the variants of their blocks within half the radius of two bits, and colliding pairs
+are verified, by the whole fingerprint and then set against set. A pair of similarity 0.8 shares no salt with a
+probability of 0.2 ** 8, and no block within two bits with one of about 1e-4; of greater similarity, less.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from cambium.llm.common import batched, distinct, durable, stored
+from cambium.llm.common import U64, batched, durable, mixed, prefix, ranged, slices, stored, text_bytes, told_apart, word_hashes, words_of
 from cambium.llm.components import connected_components
 
 #: Similarity asked for, as a fraction of integers, so that no rounding decides.
 OVER, OF = 4, 5
-#: A shingle in more prefixes than this comes late in the order; at most so many are broadcast, the most frequent.
-FREQUENT, MOST_FREQUENT = 50, 1 << 18
-#: Bits of a set's signature.
-SIGNATURE = 2048
-#: Slots of the broadcast table that tells which texts' sets are needed.
-SLOTS = 1 << 23
+SALTS = 8
+#: Words of 64 bits of a fingerprint; blocks and their bits.
+LONGS, BLOCKS, WIDTH = 4, 14, 18
+#: Differing bits beyond which pairs aren't verified set against set: of 128 and of all 256. At similarity 0.8 they are 19.4 and 38.8 on average, with deviations of 4.1 and 5.7.
+FAR_HALF, FAR = 40, 67
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_SEEDS = mixed(np.arange(1, SALTS + LONGS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
+#: Four bits of a byte in lanes of 16 bits each, for sums over many bytes at once.
+_LANES = [np.array([sum((b >> (4 * half + i) & 1) << (16 * i) for i in range(4)) for b in range(256)], U64) for half in (0, 1)]
+_MOST_LANE = 60_000
 
 
 def shingle_hashes(text: bytes, shingle: int) -> list[int]:
@@ -43,85 +51,67 @@ def shingle_hashes(text: bytes, shingle: int) -> list[int]:
     return [xxhash.xxh64_intdigest(line[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist())]
 
 
-def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """Sorted distinct shingle hashes; that of a null or empty text is empty."""
-    return distinct(np.array(shingle_hashes((text or "").encode(), shingle), np.uint64))
-
-
-def prefix_of(members: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first n - ceil(0.8 n) + 1 of n sorted hashes, those in the sorted `frequent` last, by rank. None of none."""
-    n = len(members)
-    size = n - (OVER * n + OF - 1) // OF + 1 if n else 0
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, members), len(frequent) - 1)
-        late = frequent[at] == members
-        members = np.concatenate([members[~late], members[late][np.argsort(rank[at[late]], kind="stable")]])
-    return members[:size]
-
-
-def signature(members: np.ndarray) -> bytes:
-    """One bit for each slot that a member falls in. A set has as many members outside another as slots that the other lacks, at least."""
-    bits = np.zeros(SIGNATURE, bool)
-    bits[(members % np.uint64(SIGNATURE)).astype(np.int64)] = True
-    return np.packbits(bits).tobytes()
-
-
-def _signed(values: np.ndarray) -> np.ndarray:
-    return np.asarray(values, np.uint64).view(np.int64)
-
-
-def _digest(members: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(members.tobytes(), 42)
-
-
-def _lists(each: list[np.ndarray]) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(_signed(np.concatenate(each)) if each else np.zeros(0, np.int64)))
-
-
-def _prints(texts: DataFrame, shingle: int) -> DataFrame:
-    """(h, digest, n, sig, prefix) of each row of texts (h, text)."""
-    none = np.zeros(0, np.uint64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
-            columns = [batch.column(0), pa.array(_signed(np.array([_digest(s) for s in sets], np.uint64))), pa.array([len(s) for s in sets], pa.int32())]
-            columns += [pa.array([signature(s) for s in sets], pa.binary()), _lists([prefix_of(s, none, none) for s in sets])]
-            yield pa.RecordBatch.from_arrays(columns, ["h", "digest", "n", "sig", "prefix"])
-
-    return texts.mapInArrow(run, "h long, digest long, n int, sig binary, prefix array<long>")
-
-
-def _reordered(texts: DataFrame, shingle: int, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """(digest, prefix) of each row, with frequent shingles last."""
-    shared = texts.sparkSession.sparkContext.broadcast((frequent, rank))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
-            digests = pa.array(_signed(np.array([_digest(s) for s in sets], np.uint64)))
-            yield pa.RecordBatch.from_arrays([digests, _lists([prefix_of(s, *shared.value) for s in sets])], ["digest", "prefix"])
-
-    return texts.mapInArrow(run, "digest long, prefix array<long>")
-
-
-def _sets(texts: DataFrame, shingle: int, wanted: DataFrame) -> DataFrame:
-    """(digest, members) of the sets of `wanted` (digest, h), h being the hash of a text that has the set."""
-    slots = wanted.select(F.pmod("h", F.lit(SLOTS)).cast("int").alias("slot")).distinct().toArrow().column("slot").to_numpy()
-    needed = np.zeros(SLOTS, bool)
-    needed[slots] = True
-    shared = texts.sparkSession.sparkContext.broadcast(np.packbits(needed))
+def shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each text, sorted, in one array, and offsets (n + 1). A text of fewer words is one shingle, none of no words."""
+    buf, offsets = text_bytes(texts)
+    low = _LOWER[buf]
+    starts, ends, first = words_of(low, offsets)
+    n_words = np.diff(first)
+    sums = prefix(word_hashes(low, starts, ends))
+    many = np.where(n_words > 0, np.maximum(n_words - shingle + 1, 1), 0)
+    owner = np.repeat(np.arange(len(many)), many)
+    a = first[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+    hashes = ranged(sums, a, np.minimum(a + shingle, first[owner + 1]))
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    return hashes[new], np.searchsorted(owner[new], np.arange(len(many) + 1))
+
+
+def _bit_sums(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many hashes of each group, which begin at `at`, have each of 64 bits."""
+    edges = np.unique(np.concatenate([at, np.arange(0, len(hashes), _MOST_LANE)]))  # no lane overflows
+    raw = hashes.view(np.uint8).reshape(-1, 8)
+    out = np.zeros((len(at), 64), np.int64)
+    group = np.searchsorted(at, edges, side="right") - 1
+    for byte in range(8):
+        for half, lanes in enumerate(_LANES):
+            sums = np.add.reduceat(lanes[raw[:, byte]], edges)
+            for i in range(4):
+                out[:, 8 * byte + 4 * half + i] = np.bincount(group, (sums >> U64(16 * i) & U64(0xFFFF)).astype(np.float64), len(at))
+    return out
+
+
+def prints(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text's set: digest, size, salts (n, SALTS) and fingerprint (n, LONGS); zeros of an empty set."""
+    hashes, offsets = shingle_sets(texts, shingle)
+    n = np.diff(offsets)
+    digest = np.array([xxhash.xxh64_intdigest(hashes[a:b].tobytes(), 42) for a, b in zip(offsets, offsets[1:])], U64)
+    salts, marks = np.zeros((len(n), SALTS), U64), np.zeros((len(n), LONGS), U64)
+    some = n > 0
+    at = offsets[:-1][some]
+    if len(at):
+        for i in range(SALTS):
+            salts[some, i] = mixed(np.minimum.reduceat(mixed(hashes ^ _SEEDS[i]), at) + _SEEDS[i])
+        for i in range(LONGS):
+            bits = 2 * _bit_sums(mixed(hashes ^ _SEEDS[SALTS + i]), at) > n[some][:, None]
+            marks[some, i] = np.packbits(bits, axis=1, bitorder="little").view("<u8")[:, 0]
+    return digest, n, salts, marks
+
+
+def _table(texts: DataFrame, shingle: int) -> DataFrame:
+    """(h, digest, n, salts, mark) of each row of texts (h, text)."""
+
+    def lists(values: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]), pa.array(values.view(np.int64).ravel()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        needed = np.unpackbits(shared.value).view(bool)
-        for batch in batches:
-            some = batch.filter(pa.array(needed[batch.column(0).to_numpy() % SLOTS]))
-            sets = [shingle_set(t, shingle) for t in some.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(_signed(np.array([_digest(s) for s in sets], np.uint64))), _lists(sets)], ["h", "digest", "members"])
+        for b in slices(batches):
+            digest, n, salts, marks = prints(b.column("text"), shingle)
+            yield pa.RecordBatch.from_arrays([b.column("h"), pa.array(digest.view(np.int64)), pa.array(n.astype(np.int32)), lists(salts), lists(marks)], ["h", "digest", "n", "salts", "mark"])
 
-    found = texts.mapInArrow(run, "h long, digest long, members array<long>")
-    return found.join(wanted, ["h", "digest"], "left_semi").groupBy("digest").agg(F.first("members").alias("members"))
+    return texts.select("h", "text").mapInArrow(run, "h long, digest long, n int, salts array<long>, mark array<long>")
 
 
 def _both(pairs: DataFrame, table: DataFrame, columns: tuple[str, ...]) -> DataFrame:
@@ -130,80 +120,73 @@ def _both(pairs: DataFrame, table: DataFrame, columns: tuple[str, ...]) -> DataF
     return pairs
 
 
-def _kept(pairs: DataFrame, passes: Callable[[dict], bool]) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array([passes(batch, i) for i in range(batch.num_rows)], pa.bool_())).select(["a", "b"])
-
-    return pairs.mapInArrow(run, "a long, b long")
-
-
-def _may_match(batch: pa.RecordBatch, i: int) -> bool:
-    """Whether the signatures leave room for enough common shingles."""
-    a, b = (int.from_bytes(batch.column(f"sig_{s}")[i].as_py()) for s in "ab")
-    n, m = (batch.column(f"n_{s}")[i].as_py() for s in "ab")
-    common = min(n - (a & ~b).bit_count(), m - (b & ~a).bit_count())
-    return OF * common >= OVER * (n + m - common)
+def _apart(one: str, other: str, longs: int) -> Column:
+    """Differing bits of two fingerprints."""
+    return sum((F.bit_count(F.col(one)[i].bitwiseXOR(F.col(other)[i])) for i in range(longs)), F.lit(0))
 
 
-def _match(batch: pa.RecordBatch, i: int) -> bool:
-    a, b = (batch.column(f"members_{s}")[i].values.to_numpy() for s in "ab")
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return OF * common >= OVER * (len(a) + len(b) - common)
+def _near_in_size(n: str, m: str) -> Column:
+    return OF * F.least(n, m) >= OVER * F.greatest(n, m)
 
 
-def _similar(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """The pairs (a, b) of digests that have the similarity: first by signature, then set against set."""
-    pairs = _both(pairs, classes, ("n",)).where(_near_in_size(F.col("n_a"), F.col("n_b")))
-    near = durable(_kept(_both(pairs, classes, ("sig",)), _may_match))
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (a, b) of digests that have the similarity: near in size and fingerprint, then set against set."""
+    near = durable(_both(pairs, classes, ("n", "mark")).where(_near_in_size("n_a", "n_b") & (_apart("mark_a", "mark_b", LONGS) <= FAR)).select("a", "b"))
     either = near.select(F.col("a").alias("digest")).unionByName(near.select(F.col("b").alias("digest"))).distinct()
     wanted = durable(classes.select("digest", "h").join(either, "digest", "left_semi"))
     if wanted.isEmpty():
         return near
-    return durable(_kept(_both(near, durable(_sets(texts, shingle, wanted)), ("members",)), _match))
+    some, _ = told_apart(texts, F.col("h"), wanted.select("h"))
+    found = stored(some.join(wanted, "h").groupBy("digest").agg(F.first("text").alias("text")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x for part in slices(batches, "text_a") for x in slices(iter([part]), "text_b")):
+            (one, at), (two, to) = (shingle_sets(b.column(f"text_{s}"), shingle) for s in "ab")
+            common = [len(np.intersect1d(one[at[i] : at[i + 1]], two[to[i] : to[i + 1]], assume_unique=True)) for i in range(b.num_rows)]
+            total = np.diff(at) + np.diff(to) - common
+            yield b.filter(pa.array(OF * np.array(common, np.int64) >= OVER * total)).select(["a", "b"])
 
+    return durable(_both(near, found, ("text",)).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"))
 
-def _near_in_size(n: Column, m: Column) -> Column:
-    return OF * F.least(n, m) >= OVER * F.greatest(n, m)
+
+def _balls(members: DataFrame) -> DataFrame:
+    """members (salt, digest, n, component, mark), each once for every variant within one bit of each of its blocks: with `key`."""
+    low = [F.call_function("shiftrightunsigned", F.col("mark")[WIDTH * i // 64], F.lit(WIDTH * i % 64)) for i in range(BLOCKS)]
+    rest = [F.call_function("shiftleft", F.col("mark")[WIDTH * i // 64 + 1], F.lit(64 - WIDTH * i % 64)) if WIDTH * i % 64 + WIDTH > 64 else F.lit(0).cast("long") for i in range(BLOCKS)]
+    blocks = F.array(*[F.struct(F.lit(i).alias("i"), a.bitwiseOR(b).bitwiseAND(F.lit((1 << WIDTH) - 1)).alias("x")) for i, (a, b) in enumerate(zip(low, rest))])
+    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(WIDTH)])
+    half = F.slice("mark", 1, 2).alias("half")
+    each = members.select("salt", "digest", "n", "component", half, F.explode(blocks).alias("block")).select("*", F.explode(flips).alias("flip"))
+    return each.select(F.xxhash64("salt", "block.i", F.col("block.x").bitwiseXOR(F.col("flip"))).alias("key"), "digest", "n", "component", "half")
+
+
+def _unlike(members: DataFrame, value: str) -> DataFrame:
+    """(salt, low, high) of the salts under which there is more than one value. Counted in parts first, so a frequent salt is few rows."""
+    return members.groupBy("salt").agg(F.min(value).alias("low"), F.max(value).alias("high")).where("low < high")
 
 
 def components(texts: DataFrame, shingle: int) -> DataFrame:
     """(h, component) of each distinct h of texts (h, text), h being a hash of the text: the groups that links connect.
 
-    Texts with equal sets are one class from the start. Of the classes that share a shingle of their prefixes, each is
-    first compared with the least and the greatest digest; then pairs that are still in different components all are,
-    so a large group of near copies isn't compared pair by pair, and none is missed.
+    Texts with equal sets are one class from the start. A null or empty text has an empty set, so all of them are one
+    class. A frequent salt's members are joined with the salt's least and greatest digest, never gathered.
     """
     batched(texts.sparkSession)
-    prints = stored(_prints(texts, shingle))
-    classes = prints.groupBy("digest").agg(F.min("h").alias("h"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    prefixes = prints.select("digest", "prefix")
-    in_many = prefixes.select(F.explode("prefix").alias("token")).groupBy("token").count().where(F.col("count") > FREQUENT)
-    in_many = in_many.orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).toArrow()
-    if in_many.num_rows:
-        token, many = _unsigned(in_many.column("token").to_numpy()), in_many.column("count").to_numpy()
-        order = np.argsort(token)
-        rank = np.empty(len(token), np.int64)
-        rank[np.lexsort((token, many))] = np.arange(len(token))
-        prefixes = _reordered(texts, shingle, token[order], rank[order])
-    classes = durable(classes)
-    by_token = Window.partitionBy("token")
-    each = prefixes.groupBy("digest").agg(F.first("prefix").alias("prefix")).select("digest", F.explode("prefix").alias("token"))
-    met = each.withColumns({"low": F.min("digest").over(by_token), "high": F.max("digest").over(by_token)}).where("low < high")
-    met = durable(met.join(classes.select("digest", "n"), "digest"))
-
+    table = stored(_table(texts, shingle))
+    classes = stored(table.groupBy("digest").agg(F.min("h").alias("h"), F.first("n").alias("n"), F.first("salts").alias("salts"), F.first("mark").alias("mark")))
+    each = classes.where("n > 0").select("digest", F.explode("salts").alias("salt"))
+    met = durable(each.join(_unlike(each, "digest"), "salt"))
     stars = met.select("digest", F.explode(F.array("low", "high")).alias("other")).where("digest != other")
     stars = stars.select(F.least("digest", "other").alias("a"), F.greatest("digest", "other").alias("b")).distinct()
-    found = _similar(stars, classes, texts, shingle)
-    part = connected_components(found).withColumnRenamed("id", "digest")
-    met = met.select("token", "digest", "n").join(part, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-    met = durable(met.withColumns({"low": F.min("component").over(by_token), "high": F.max("component").over(by_token)}).where("low < high").drop("low", "high"))
-    left, right = (met.select("token", F.col("digest").alias(s), F.col("n").alias(f"n{s}"), F.col("component").alias(f"c{s}")) for s in "ab")
-    rest = left.join(right, "token").where("a < b and ca != cb").where(_near_in_size(F.col("na"), F.col("nb"))).select("a", "b").distinct()
-    links = found.unionByName(_similar(rest, classes, texts, shingle))
-    part = connected_components(links).withColumnRenamed("id", "digest")
-    return prints.select("h", "digest").distinct().join(part, "digest", "left").select("h", F.coalesce("component", "digest").alias("component"))
-
+    links = _verified(stars, classes, texts, shingle)
 
-def _unsigned(values: np.ndarray) -> np.ndarray:
-    return np.asarray(values, np.int64).view(np.uint64)
+    part = connected_components(links).withColumnRenamed("id", "digest")
+    placed = durable(met.select("salt", "digest").join(part, "digest", "left").withColumn("component", F.coalesce("component", "digest")))
+    open_ = placed.join(_unlike(placed, "component").select("salt"), "salt", "left_semi")
+    sent = _balls(open_.join(classes.select("digest", "n", "mark"), "digest"))
+    one, two = (sent.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("digest", "n", "component", "half")]) for s in "ab")
+    pairs = one.join(two, "key").where(F.expr("digest_a < digest_b and component_a != component_b") & _near_in_size("n_a", "n_b") & (_apart("half_a", "half_b", 2) <= FAR_HALF))
+    pairs = durable(pairs.select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b")).distinct())
+    links = links.unionByName(_verified(pairs, classes, texts, shingle))
+    part = connected_components(links).withColumnRenamed("id", "digest")
+    return table.select("h", "digest").distinct().join(part, "digest", "left").select("h", F.coalesce("component", "digest").alias("component"))

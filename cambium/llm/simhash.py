@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from cambium.llm.common import batched, durable, fresh
+from cambium.llm.common import batched, durable, fresh, told_apart
 from cambium.llm.components import connected_components
 from cambium.llm.shingles import components, shingle_hashes
 
@@ -81,20 +81,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col:
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """docs with one row of each component of similar texts (see `shingles`): that of its smallest doc_id.
 
-    A row counts by id and text, so unlike texts under one doc_id both stay; of one component, the least text hash. Rows with a null doc_id can't be named by a component: all of them stay. Rows that repeat both id and text leave
-    one. Texts are shuffled once, to meet the ids that stay, and not sorted: ids are the build side of a hash join.
+    A row counts by id and text, so unlike texts under one doc_id both stay; of one component, the least text hash. Rows
+    with a null doc_id can't be named by a component: all of them stay. Rows that repeat both id and text leave one.
+    Only texts that go are shuffled, and those that share their slot of a bitmap.
     """
-    h, n = fresh("hash"), fresh("n")
-    named = docs.where("doc_id is not null").withColumn(h, F.xxhash64("text"))
-    group = components(named.select(F.col(h).alias("h"), "text"), shingle).withColumnRenamed("h", h)
-    first = named.groupBy("doc_id", h).agg(F.count("*").alias(n)).join(group, h).groupBy("component").agg(F.min(F.struct("doc_id", h, n)).alias("m"))
-    keep = durable(first.select("m.doc_id", f"m.{h}", f"m.{n}"))
-    ids = keep.select("doc_id", h).hint("shuffle_hash")
-    stay = named.join(ids, ["doc_id", h], "left_semi")
-    if not (twice := keep.where(F.col(n) > 1)).isEmpty():
-        twice = twice.select("doc_id", h)
-        stay = stay.join(twice, ["doc_id", h], "left_anti").unionByName(stay.join(twice, ["doc_id", h], "left_semi").dropDuplicates(["doc_id", h]))
-    return stay.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    h, n, key = fresh("hash"), fresh("n"), F.xxhash64("doc_id", F.xxhash64("text"))
+    named = docs.where("doc_id is not null")
+    group = components(named.select(F.xxhash64("text").alias("h"), "text"), shingle).withColumnRenamed("h", h)
+    rows = durable(named.groupBy("doc_id", F.xxhash64("text").alias(h)).agg(F.count("*").alias(n)).join(group, h))
+    keep = rows.groupBy("component").agg(F.min(F.struct("doc_id", h)).alias("m")).select("m.doc_id", f"m.{h}", F.lit(True).alias("first"))
+    touched = durable(rows.join(keep, ["doc_id", h], "left").where(F.col("first").isNull() | (F.col(n) > 1)).select("doc_id", h, F.coalesce("first", F.lit(False)).alias(n)))
+    some, rest = told_apart(named, key, touched.select(F.xxhash64("doc_id", h).alias(h)))
+    met = some.withColumn(h, F.xxhash64("text")).join(touched, ["doc_id", h], "left")
+    stay = met.where(F.col(n).isNull()).unionByName(met.where(n).dropDuplicates(["doc_id", h])).select(docs.columns)
+    return rest.unionByName(stay).unionByName(docs.where("doc_id is null"))
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
