@@ -1,11 +1,11 @@
 """Components of texts whose sets of word shingles have a Jaccard similarity of 0.8 or more, by salted ball hashing of SimHashes.
 
 At that similarity about 15 % of the bits of a SimHash differ, too many for one ball around the whole. So fingerprints
-have 256 bits, in blocks of 18, and are compared under salts that similar sets share: the least hash of the set in each
-of eight orders. Sets of a salt are linked in a star first, which settles groups of near copies; only those that are
+have 256 bits, in 16 blocks, and each block is compared under a salt that similar sets share: the least hash of the set
+in one of 16 orders. Sets of a salt are linked in a star first, which settles most groups of near copies; those that are
 left in different components send the variants of their blocks within half the radius of two bits, and colliding pairs
-are verified, by the whole fingerprint and then set against set. A pair of similarity 0.8 shares no salt with a
-probability of 0.2 ** 8, and no block within two bits with one of about 1e-4; of greater similarity, less.
+are verified, by the whole fingerprint and then set against set. A pair of similarity 0.8 has no block that collides
+with a probability of 1e-4, and is too far apart by its fingerprint with one of 1e-3; of greater similarity, less.
 """
 
 from __future__ import annotations
@@ -23,11 +23,10 @@ from cambium.llm.components import connected_components
 
 #: Similarity asked for, as a fraction of integers, so that no rounding decides.
 OVER, OF = 4, 5
-SALTS = 8
-#: Words of 64 bits of a fingerprint; blocks and their bits.
-LONGS, BLOCKS, WIDTH = 4, 14, 18
-#: Differing bits beyond which pairs aren't verified set against set: of 128 and of all 256. At similarity 0.8 they are 19.4 and 38.8 on average, with deviations of 4.1 and 5.7.
-FAR_HALF, FAR = 40, 67
+#: Salts, each with a block of so many bits of the fingerprint, which has LONGS words of 64 bits.
+SALTS, WIDTH, LONGS = 16, 16, 4
+#: Differing bits beyond which pairs aren't verified set against set. At similarity 0.8 they are 38.8 on average, with a deviation of 5.7.
+FAR = 58
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -150,42 +149,52 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: i
 
 
 def _balls(members: DataFrame) -> DataFrame:
-    """members (salt, digest, n, component, mark), each once for every variant within one bit of each of its blocks: with `key`."""
-    low = [F.call_function("shiftrightunsigned", F.col("mark")[WIDTH * i // 64], F.lit(WIDTH * i % 64)) for i in range(BLOCKS)]
-    rest = [F.call_function("shiftleft", F.col("mark")[WIDTH * i // 64 + 1], F.lit(64 - WIDTH * i % 64)) if WIDTH * i % 64 + WIDTH > 64 else F.lit(0).cast("long") for i in range(BLOCKS)]
-    blocks = F.array(*[F.struct(F.lit(i).alias("i"), a.bitwiseOR(b).bitwiseAND(F.lit((1 << WIDTH) - 1)).alias("x")) for i, (a, b) in enumerate(zip(low, rest))])
+    """members (salt, i, digest, n, component, mark), each once for every variant within one bit of block i: with `key`."""
+    at = F.col("i") * WIDTH
+    block = F.call_function("shiftrightunsigned", F.get("mark", F.floor(at / 64).cast("int")), at % 64).bitwiseAND(F.lit((1 << WIDTH) - 1))
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(WIDTH)])
-    half = F.slice("mark", 1, 2).alias("half")
-    each = members.select("salt", "digest", "n", "component", half, F.explode(blocks).alias("block")).select("*", F.explode(flips).alias("flip"))
-    return each.select(F.xxhash64("salt", "block.i", F.col("block.x").bitwiseXOR(F.col("flip"))).alias("key"), "digest", "n", "component", "half")
+    each = members.select("salt", "digest", "n", "component", "mark", block.alias("block"), F.explode(flips).alias("flip")).withColumn("variant", F.col("block").bitwiseXOR(F.col("flip")))
+    return each.select(F.xxhash64("salt", "variant").alias("key"), "variant", "block", "digest", "n", "component", "mark")
 
 
-def _unlike(members: DataFrame, value: str) -> DataFrame:
+def _first_variant(one: str, other: str) -> Column:
+    """Of the variants that two blocks within two bits share, one."""
+    differ = F.col(one).bitwiseXOR(F.col(other))
+    return F.when(F.bit_count(differ) == 2, F.col(one).bitwiseXOR(differ.bitwiseAND(-differ))).otherwise(F.least(one, other))
+
+
+def _unlike(members: DataFrame, value: str, *more: Column) -> DataFrame:
     """(salt, low, high) of the salts under which there is more than one value. Counted in parts first, so a frequent salt is few rows."""
-    return members.groupBy("salt").agg(F.min(value).alias("low"), F.max(value).alias("high")).where("low < high")
+    return members.groupBy("salt").agg(F.min(value).alias("low"), F.max(value).alias("high"), *more).where("low < high")
 
 
 def components(texts: DataFrame, shingle: int) -> DataFrame:
     """(h, component) of each distinct h of texts (h, text), h being a hash of the text: the groups that links connect.
 
     Texts with equal sets are one class from the start. A null or empty text has an empty set, so all of them are one
-    class. A frequent salt's members are joined with the salt's least and greatest digest, never gathered.
+    class. The centre of a star is the member that shares the most salts, such as the original of edited copies; the
+    members of a frequent salt are joined with it, never gathered.
     """
     batched(texts.sparkSession)
     table = stored(_table(texts, shingle))
     classes = stored(table.groupBy("digest").agg(F.min("h").alias("h"), F.first("n").alias("n"), F.first("salts").alias("salts"), F.first("mark").alias("mark")))
-    each = classes.where("n > 0").select("digest", F.explode("salts").alias("salt"))
-    met = durable(each.join(_unlike(each, "digest"), "salt"))
-    stars = met.select("digest", F.explode(F.array("low", "high")).alias("other")).where("digest != other")
+    each = classes.where("n > 0").select("digest", F.posexplode("salts").alias("i", "salt"))
+    shared = _unlike(each, "digest", F.count("*").alias("c"))
+    met = durable(each.join(shared, "salt").select("salt", "i", "digest", "c"))
+    weight = met.groupBy("digest").agg(F.sum("c").alias("w"))
+    centre = met.join(weight, "digest").groupBy("salt").agg(F.max(F.struct("w", "digest")).alias("m")).select("salt", F.col("m.digest").alias("other"))
+    stars = met.select("salt", "digest").join(centre, "salt").where("digest != other")
     stars = stars.select(F.least("digest", "other").alias("a"), F.greatest("digest", "other").alias("b")).distinct()
     links = _verified(stars, classes, texts, shingle)
 
     part = connected_components(links).withColumnRenamed("id", "digest")
-    placed = durable(met.select("salt", "digest").join(part, "digest", "left").withColumn("component", F.coalesce("component", "digest")))
+    placed = durable(met.select("salt", "i", "digest").join(part, "digest", "left").withColumn("component", F.coalesce("component", "digest")))
     open_ = placed.join(_unlike(placed, "component").select("salt"), "salt", "left_semi")
     sent = _balls(open_.join(classes.select("digest", "n", "mark"), "digest"))
-    one, two = (sent.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("digest", "n", "component", "half")]) for s in "ab")
-    pairs = one.join(two, "key").where(F.expr("digest_a < digest_b and component_a != component_b") & _near_in_size("n_a", "n_b") & (_apart("half_a", "half_b", 2) <= FAR_HALF))
+    one, two = (sent.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("variant", "block", "digest", "n", "component", "mark")]) for s in "ab")
+    pairs = one.join(two, "key").where(
+        F.expr("digest_a < digest_b and component_a != component_b") & _near_in_size("n_a", "n_b") & (F.col("variant_a") == _first_variant("block_a", "block_b")) & (_apart("mark_a", "mark_b", LONGS) <= FAR)
+    )
     pairs = durable(pairs.select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b")).distinct())
     links = links.unionByName(_verified(pairs, classes, texts, shingle))
     part = connected_components(links).withColumnRenamed("id", "digest")
