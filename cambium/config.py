@@ -25,7 +25,6 @@ class EMConfig:
 @dataclass(frozen=True)
 class InferenceConfig:
     tile_size: int = 512
-    batch_size: int = 500_000
     posteriors: bool = True
     #: Tiles with a smaller share of valid cells are left out.
     min_valid: float = 0.01

@@ -48,35 +48,62 @@ def stacked_series(names: dict[str, bool], length: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(length - 2)), lambda i: features([F.try_element_at(F.col(n), i.cast("int") + 1) if yearly else F.col(n) for n, yearly in names.items()]))
 
 
-def standardized(frame: DataFrame, names: list[str]) -> DataFrame:
-    """Columns less their mean over their standard deviation (option; off by default). One aggregation to 2 numbers a column."""
-    row = frame.agg(*[f(n).alias(f"{p}_{n}") for n in names for p, f in (("m", F.mean), ("s", F.stddev_pop))]).first()
-    return frame.withColumns({n: (F.col(n) - F.lit(row[f"m_{n}"])) / F.lit(row[f"s_{n}"] or 1.0) for n in names})
+#: Features of the neighbourhood by name: kind, and for distances the least cover of a seed.
+NEAR = {"seed_distance": ("seed_distance", 0.04), "focal_mean": ("focal_mean", None)}
 
 
-def _by_tile(cells: DataFrame, make, names: list[str], tile: str, r: str, c: str, value: str, t: str) -> DataFrame:
-    """Grouped by (tile, t): a group is one dense tile, whose size is the tile size squared."""
+def _made(grid: np.ndarray, features: dict, radius: int, metres: float, none: float) -> list[np.ndarray]:
+    return [seed_distance(grid, threshold, metres, none) if kind == "seed_distance" else focal_mean(grid, radius) for kind, threshold in features.values()]
+
+
+def neighbourhood(cells: DataFrame, features: dict = NEAR, radius: int = 5, metres: float = 30.0, none: float = 50_000.0, tile: str = "tile_id", r: str = "r", c: str = "c", value: str = "x", t: str = "t") -> DataFrame:
+    """(tile, t, r, c, features) of every cell, masked or not, within its tile; one shuffle.
+
+    Grouped by (tile, t): a group is one dense tile, whose size is the tile size squared. Tiles don't see their
+    neighbours: distances stop and means are mirrored at tile edges. A tile without a seed has the distance `none`
+    everywhere. Missing cells of a tile count as cover 0.
+    """
 
     def run(group: pa.Table) -> pa.Table:
         rows, cols = np.asarray(group.column(r), np.int64), np.asarray(group.column(c), np.int64)
         r0, c0 = rows.min(), cols.min()
-        grid = np.full((rows.max() - r0 + 1, cols.max() - c0 + 1), 0.0)
+        grid = np.zeros((rows.max() - r0 + 1, cols.max() - c0 + 1))
         grid[rows - r0, cols - c0] = np.nan_to_num(np.asarray(group.column(value).cast(pa.float64()).fill_null(0.0), np.float64))
-        made = make(grid)
-        return pa.table({tile: group.column(tile), t: group.column(t), r: group.column(r), c: group.column(c), **{n: pa.array(m[rows - r0, cols - c0]) for n, m in zip(names, made)}})
+        made = _made(grid, features, radius, metres, none)
+        return pa.table({n: group.column(n) for n in (tile, t, r, c)} | {n: pa.array(m[rows - r0, cols - c0]) for n, m in zip(features, made)})
 
     kinds = ", ".join(f"{x} {cells.schema[x].dataType.simpleString()}" for x in (tile, t, r, c))
-    slim = cells.select(tile, t, r, c, value)
-    return slim.groupBy(tile, t).applyInArrow(run, f"{kinds}, {', '.join(f'{n} double' for n in names)}")
+    return cells.select(tile, t, r, c, value).groupBy(tile, t).applyInArrow(run, f"{kinds}, {', '.join(f'{n} double' for n in features)}")
 
 
-def neighbourhood(cells: DataFrame, threshold: float = 0.04, radius: int = 5, metres: float = 30.0, none: float = 50_000.0, tile: str = "tile_id", r: str = "r", c: str = "c", value: str = "x", t: str = "t") -> DataFrame:
-    """(tile, t, r, c, seed_distance, focal_mean) of every cell, masked or not, within its tile; one shuffle.
+def neighbourhood_series(cells: DataFrame, length: int, features: dict = NEAR, radius: int = 5, metres: float = 30.0, none: float = 50_000.0, strict: bool = False) -> DataFrame:
+    """(pid, features as arrays of `length` steps) of the valid cells of cells (pid, tile_id, r, c, valid, pct array).
 
-    Tiles don't see their neighbours: distances stop and means are mirrored at tile edges. A tile without a cell of
-    cover >= threshold has the distance `none` everywhere. Missing cells of a tile count as cover 0.
+    All cells of a tile count, valid or not: a masked cell may be the nearest seed. Missing cover (null, and above 100
+    unless strict) counts as 0. Grouped by tile, so a cell is one row however many steps there are; steps are worked off
+    one at a time, on a grid of the tile's size.
     """
-    return _by_tile(cells, lambda g: (seed_distance(g, threshold, metres, none), focal_mean(g, radius)), ["seed_distance", "focal_mean"], tile, r, c, value, t)
+
+    def run(group: pa.Table) -> pa.Table:
+        rows, cols = np.asarray(group.column("r"), np.int64), np.asarray(group.column("c"), np.int64)
+        rows, cols = rows - rows.min(), cols - cols.min()
+        lists = group.column("pct").combine_chunks()
+        have = np.asarray(lists.value_lengths().fill_null(0), np.int64) == length
+        pct = np.zeros((len(rows), length))
+        pct[have] = np.nan_to_num(np.asarray(lists.filter(pa.array(have)).flatten().cast(pa.float64()), np.float64)).reshape(-1, length)
+        cover = np.clip(np.where((pct > 100) & (not strict), 0, pct) / 100, 0, 0.999)
+        keep = np.flatnonzero(np.asarray(group.column("valid")))
+        out = {n: np.empty((len(keep), length)) for n in features}
+        for t in range(length):
+            grid = np.zeros((rows.max() + 1, cols.max() + 1))
+            grid[rows, cols] = cover[:, t]
+            for n, m in zip(features, _made(grid, features, radius, metres, none)):
+                out[n][:, t] = m[rows[keep], cols[keep]]
+        edges = pa.array(np.arange(len(keep) + 1, dtype=np.int32) * length)
+        return pa.table({"pid": group.column("pid").take(pa.array(keep))} | {n: pa.ListArray.from_arrays(edges, pa.array(v.ravel())) for n, v in out.items()})
+
+    kinds = f"pid {cells.schema['pid'].dataType.simpleString()}, {', '.join(f'{n} array<double>' for n in features)}"
+    return cells.select("pid", "tile_id", "r", "c", "valid", "pct").groupBy("tile_id").applyInArrow(run, kinds)
 
 
 def dynamic_transitions(x: Column, weights: np.ndarray) -> Column:

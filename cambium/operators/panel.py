@@ -7,18 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def series(panel: DataFrame, length: int, keys: tuple[str, ...] = ("pid",), t: str = "t", value: str = "pct", absent: int | None = None) -> DataFrame:
+def series(panel: DataFrame, length: int, keys: tuple[str, ...] = ("pid",), t: str = "t", value: str = "pct", absent: int | None = None, kind: str = "smallint", name: str = "pct") -> DataFrame:
     """Long panel (keys, t, value) -> (keys, pct array<smallint>) of `length` steps in order; steps without a row are `absent`.
 
     One shuffle on the keys; a series is one row, so that everything over time is narrow afterwards. If a step has
-    several rows, the largest value counts.
+    several rows, the largest value counts: rows of a key are sorted by (t, value), and a step takes its last.
     """
-    points = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(t).cast("int").alias("t"), F.col(value).cast("smallint").alias("v")))))
-    once = panel.where(F.col(t).between(0, length - 1)).groupBy(*keys, t).agg(F.max(value).alias(value))
-    steps = F.sequence(F.lit(0), F.lit(length - 1))
+    rows = F.array_sort(F.collect_list(F.struct(F.col(t).cast("int").alias("t"), F.col(value).cast(kind).alias("v"))))
+    last = F.filter("_rows", lambda x, i: F.coalesce(F.get("_rows", i + 1)["t"] != x["t"], F.lit(True)))
     at = lambda i: F.try_element_at(F.col("_points"), i.cast("int"))
-    filled = (lambda i: F.coalesce(at(i), F.lit(absent).cast("smallint"))) if absent is not None else at
-    return once.groupBy(*keys).agg(points.alias("_points")).select(*keys, F.transform(steps, filled).alias("pct"))
+    filled = (lambda i: F.coalesce(at(i), F.lit(absent).cast(kind))) if absent is not None else at
+    each = panel.where(F.col(t).between(0, length - 1)).groupBy(*keys).agg(rows.alias("_rows")).select(*keys, F.map_from_entries(last).alias("_points"))
+    return each.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(length - 1)), filled).alias(name))
 
 
 def long(frame: DataFrame, column: str, name: str, keys: tuple[str, ...] = ("pid",)) -> DataFrame:

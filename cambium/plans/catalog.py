@@ -13,6 +13,7 @@ from cambium.functions.params import HMMParams, default_params
 from cambium.operators import covariates as cov
 from cambium.operators import decode, learn, panel, products
 from cambium.plans import fixture as fx
+from cambium.plans import pipeline
 from cambium.plans.oracles import ORACLES
 from cambium.plans.sizing import estimate
 from cambium.sources import rasters
@@ -123,7 +124,7 @@ def beta_suffstats(spark, sf):
 
 def em_fit(spark, sf):
     frame = fx.user_series(spark, sf).cache()
-    found = learn.baum_welch(frame, config=EMConfig(max_iter=60))
+    found = learn.baum_welch(frame)
     frame.unpersist()
     e = found.params.emission
     return _rows(spark, [(k, float(np.exp(found.params.log_init[k])), float(e.pi[k]), float(e.mu[k]), float(e.phi[k]), found.n_iter, found.converged, found.log_likelihoods[-1]) for k in range(6)], "k int, init double, pi double, mu double, phi double, n_iter int, converged boolean, log_lik double")
@@ -178,15 +179,21 @@ def em_sample(spark, sf):
 
 
 def seed_distance(spark, sf):
-    cells = fx.covers(spark, sf)
-    near, far = (cov.neighbourhood(cells, threshold=t).select("tile_id", "t", "r", "c", F.round("seed_distance", 6).alias(n)) for t, n in ((0.04, "near"), (0.5, "far")))
+    found = cov.neighbourhood(fx.covers(spark, sf), {"near": ("seed_distance", 0.04), "far": ("seed_distance", 0.5)})
     place = fx.cells(spark, sf).select("pid", "tile_id", "r", "c")
-    return near.join(far, ["tile_id", "t", "r", "c"]).join(place, ["tile_id", "r", "c"]).select("pid", "t", "near", "far")
+    return found.join(place, ["tile_id", "r", "c"]).select("pid", "t", F.round("near", 6).alias("near"), F.round("far", 6).alias("far"))
 
 
 def focal_mean(spark, sf):
     place = fx.cells(spark, sf).select("pid", "tile_id", "r", "c")
-    return cov.neighbourhood(fx.covers(spark, sf)).join(place, ["tile_id", "r", "c"]).select("pid", "t", F.round("focal_mean", 6).alias("fm"))
+    return cov.neighbourhood(fx.covers(spark, sf), {"fm": ("focal_mean", None)}).join(place, ["tile_id", "r", "c"]).select("pid", "t", F.round("fm", 6).alias("fm"))
+
+
+def pipeline_features(spark, sf):
+    """Feature vectors as the pipeline makes them: masked cells count as neighbours, declared missing values as 0."""
+    x, d = pipeline.with_features(fx.masked_series(spark, sf), fx.covariate_tables(spark, sf), fx.FEATURES, fx.DAYS)
+    steps = x.select("pid", F.posexplode("x").alias("t", "each")).select("pid", F.col("t").cast("int").alias("t"), F.posexplode("each").alias("d", "v"))
+    return steps.select("pid", "t", F.col("d").cast("int").alias("d"), F.round("v", 6).alias("v"))
 
 
 def covariate_join(spark, sf):
@@ -221,10 +228,20 @@ def dynamic_viterbi(spark, sf):
 
 
 def weight_fit(spark, sf):
-    frame = fx.dynamic_series(spark, sf).select("pct", "x").cache()
-    found, seen = learn.fit_weights(frame, default_params(), 6, EMConfig(weight_iters=3, lbfgs_maxiter=10))
+    """3 rounds of 10 steps instead of the operator's 20 and 50: a step is a job, see the README; `converged` tells."""
+    frame, config = fx.dynamic_series(spark, sf).select("pct", "x").cache(), EMConfig(weight_iters=3, lbfgs_maxiter=10)
+    found, seen = learn.fit_weights(frame, default_params(), 6, config)
     frame.unpersist()
-    return _rows(spark, [(i, j + (j >= i), d, float(w), seen[-1]) for (i, j, d), w in np.ndenumerate(found.weights)], "i int, target int, d int, w double, log_lik double")
+    done = len(seen) > 1 and abs(seen[-1] - seen[-2]) < config.weight_tol * max(abs(seen[-2]), 1.0)
+    return _rows(spark, [(i, j + (j >= i), d, float(w), len(seen), bool(done), float(seen[-1])) for (i, j, d), w in np.ndenumerate(found.weights)], "i int, target int, d int, w double, n_rounds int, converged boolean, log_lik double")
+
+
+def weight_gradient(spark, sf):
+    """The loss of the weight fit and its gradient at fixed weights, from one E-step with dynamic transitions."""
+    made, _ = learn.pair_table(fx.dynamic_series(spark, sf).select("pct", "x"), _dynamic())
+    loss, slope = learn.weight_loss(made, fx.WEIGHTS, 1e-3)
+    made.unpersist()
+    return _rows(spark, [(i, j + (j >= i), d, round(float(g), 4), round(float(loss), 4)) for (i, j, d), g in np.ndenumerate(slope)], "i int, target int, d int, gradient double, loss double")
 
 
 def _grids(spark, sf):
@@ -255,9 +272,14 @@ def work_items(spark, sf):
     return rasters.missing(cells.select("tile_id").distinct(), cells.where("mask = 255").select("tile_id"), ["tile_id"])
 
 
+def mosaic_plan(spark, sf):
+    tiles, existing = fx.raster_files(spark, sf)
+    return rasters.mosaic_plan(tiles, existing)
+
+
 def memory_estimate(spark, sf):
-    found = [(n, estimate(n, 39, 6)) for n in (1000, 500_000)]
-    return _rows(spark, [(n, *(round(e[k], 6) for k in ("observations", "emissions", "posteriors"))) for n, e in found], "n_pixels int, observations_mb double, emissions_mb double, posteriors_mb double")
+    found = [(n, pairs, estimate(n, 39, 6, 10, pairs)) for n in (1000, 500_000) for pairs in (False, True)]
+    return _rows(spark, [(n, pairs, *(round(e[k], 6) for k in ("observations", "emissions", "posteriors", "covariates", "states_out", "posteriors_out", "total"))) for n, pairs, e in found], "n_pixels int, pairs boolean, observations_mb double, emissions_mb double, posteriors_mb double, covariates_mb double, states_out_mb double, posteriors_out_mb double, total_mb double")
 
 
 QUERIES = {
@@ -267,7 +289,7 @@ QUERIES = {
         forward_loglik, total_loglik, posterior, posterior_quantized, uncertainty_bands, expected_transitions, zero_fraction, init_mstep,
         transition_mstep, beta_suffstats, em_fit, first_year_products, max_state, year_state_summary, first_year_summary, hard_transitions,
         tiles, tile_filter, masked_cells, masked_cells_strict, em_sample, seed_distance, focal_mean, covariate_join, covariate_stack,
-        covariate_lag, dynamic_log_trans, dynamic_log_trans_sql, dynamic_viterbi, weight_fit, grid_offset, alignment_check, zero_fill,
+        covariate_lag, dynamic_log_trans, dynamic_log_trans_sql, dynamic_viterbi, weight_fit, weight_gradient, pipeline_features, mosaic_plan, grid_offset, alignment_check, zero_fill,
         raster_window, mosaic, work_items, memory_estimate,
     )
 }

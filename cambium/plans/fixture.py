@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cambium.config import CovariateConfig
 from cambium.operators import covariates as cov
 from cambium.operators import panel
 
@@ -71,3 +72,31 @@ def dynamic_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pid, pct, x): series with the features of their steps."""
     x = cov.stacked(covariate_panel(spark, sf_dir), feature_columns())
     return user_series(spark, sf_dir).join(x, "pid")
+
+
+#: Features of the masked grid, in this order.
+FEATURES = CovariateConfig(True, ("fire_severity", "elevation", "seed_distance", "focal_mean"))
+
+
+def masked_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pid, tile_id, r, c, valid, pct) of all cells of kept tiles."""
+    grid = cells(spark, sf_dir)
+    kept = grid.join(panel.kept_tiles(grid).select("tile_id"), "tile_id", "left_semi")
+    return kept.select("pid", "tile_id", "r", "c", panel.valid(F.col("mask")).alias("valid")).join(user_series(spark, sf_dir), "pid")
+
+
+def covariate_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Tables by place: fire severity of some days, and elevation with the code for missing."""
+    place = cells(spark, sf_dir).select("pid", "r", "c")
+    fire = daily(spark, sf_dir).join(place, "pid").select("r", "c", "t", F.least(F.lit(4), "errors").cast("int").alias("value"))
+    return {"fire_severity": fire, "elevation": place.select("r", "c", F.when(F.col("pid") % 11 == 0, F.lit(-9999.0)).otherwise(F.col("pid") / 8.0).alias("value"))}
+
+
+def raster_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Tiles (product, year, file) and rasters (product, year) that are there: complete sets, incomplete ones and none."""
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("y"))
+    names = F.explode(F.array(*map(F.lit, ("tree_cover", "fire_severity", "spei", "aridity", "mask", "chili"))))
+    years = nations.where("y < 20").select((F.col("y") * 2 + 1986).alias("year"), names.alias("product")).withColumn("year", F.when(~F.col("product").isin("aridity", "mask", "chili"), F.col("year")))
+    n = F.when(F.col("product") == "aridity", 30).when(F.col("product") == "chili", 5).when(F.col("year") % 3 == 0, 3).otherwise(12)
+    tiles = years.distinct().select("product", "year", F.explode(F.sequence(F.lit(1), n)).alias("file"))
+    return tiles, nations.where("y < 5").select(F.lit("spei").alias("product"), (F.col("y") + 1990).alias("year"))

@@ -57,6 +57,16 @@ _FB = (PANEL, PRM, TR, E, FB)
 _NEAR = """tiled AS (SELECT p.pid, p.t, c.tile_id, c.r - min(c.r) OVER (PARTITION BY c.tile_id) AS r, c.c - min(c.c) OVER (PARTITION BY c.tile_id) AS c, least(p.pct / 100.0::DOUBLE, 0.999) AS x FROM panel p JOIN cells c USING (pid)),
 size AS (SELECT tile_id, max(r) + 1 AS h, max(c) + 1 AS w FROM tiled GROUP BY 1)"""
 
+_DFB = FB.replace("JOIN tr ON tr.i = a.k AND tr.j = e.k", "JOIN dtr tr ON tr.pid = a.pid AND tr.t = a.t AND tr.i = a.k AND tr.j = e.k").replace("JOIN tr ON tr.j = b.k", "JOIN dtr tr ON tr.pid = b.pid AND tr.t = b.t - 1 AND tr.j = b.k")
+_XI = """xi AS (SELECT a.pid, a.t, tr.i, tr.j, tr.la, exp(a.la_ + tr.la + e.le + b.lb - ev.ll) AS xi FROM a JOIN dtr tr ON tr.pid = a.pid AND tr.t = a.t AND tr.i = a.k
+  JOIN e ON e.pid = a.pid AND e.t = a.t + 1 AND e.k = tr.j JOIN b ON b.pid = e.pid AND b.t = e.t AND b.k = e.k JOIN ev ON ev.pid = a.pid),
+slope AS (SELECT pid, t, i, j, sum(xi) OVER (PARTITION BY pid, t, i) * exp(la) - xi AS miss FROM xi),
+loss AS (SELECT -sum(xi * la) + 0.001::DOUBLE * (SELECT sum(w * w) FROM w WHERE i != j) AS loss FROM xi)"""
+_KEPT_NEAR = """ktiled AS (SELECT g.*, c.mask > 0 AND c.mask != 255 AS valid FROM tiled g JOIN cells c ON c.pid = g.pid WHERE g.tile_id IN (SELECT tile_id FROM kept)),
+near AS (SELECT g.pid, g.t, coalesce(min(30 * sqrt((g.r - s.r) ^ 2 + (g.c - s.c) ^ 2)) FILTER (s.x >= 0.04), 50000.0) AS near FROM ktiled g JOIN ktiled s USING (tile_id, t) WHERE g.valid GROUP BY g.pid, g.t),
+o AS (SELECT unnest(range(-5, 6)) AS o), n AS (SELECT g.pid, g.t, g.tile_id, ((g.r + a.o) % (2 * h) + 2 * h) % (2 * h) AS mr, ((g.c + b.o) % (2 * w) + 2 * w) % (2 * w) AS mc, h, w FROM ktiled g JOIN size USING (tile_id), o a, o b WHERE g.valid),
+focal AS (SELECT n.pid, n.t, avg(s.x) AS fm FROM n JOIN ktiled s ON s.tile_id = n.tile_id AND s.t = n.t AND s.r = CASE WHEN mr < h THEN mr ELSE 2 * h - 1 - mr END AND s.c = CASE WHEN mc < w THEN mc ELSE 2 * w - 1 - mc END GROUP BY n.pid, n.t)"""
+
 ORACLES = {
     "panel_build": _sql(PANEL, select="SELECT pid, t, pct FROM panel"),
     "rap_to_float": _sql(PANEL, select="SELECT pid, t, round(least(greatest(pct / 100.0::DOUBLE, 0), 0.999), 6) AS x FROM panel"),
@@ -100,5 +110,14 @@ ORACLES = {
     "mosaic": "SELECT pid, t, max(v) AS v FROM (SELECT user_id AS pid, datediff('day', TIMESTAMP '2024-01-01', ts) AS t, event_id AS v FROM events WHERE user_id % 3 <= 1 UNION ALL SELECT user_id, datediff('day', TIMESTAMP '2024-01-01', ts), event_id FROM events WHERE user_id % 3 >= 1) GROUP BY pid, t",
     "alignment_check": "SELECT CAST(r_regionkey AS BIGINT) AS grid_id, r_regionkey = 0 AS aligned FROM region",
     "work_items": _sql(CELLS, select="SELECT tile_id FROM (SELECT DISTINCT tile_id FROM cells) WHERE tile_id NOT IN (SELECT tile_id FROM cells WHERE mask = 255)"),
-    "memory_estimate": "SELECT CAST(n AS INTEGER) AS n_pixels, round(n * 39 * 4 / 1048576.0, 6) AS observations_mb, round(n * 39 * 6 * 4 / 1048576.0, 6) AS emissions_mb, round(n * 39 * 6 * 4 / 1048576.0, 6) AS posteriors_mb FROM (VALUES (1000), (500000)) AS q(n)",
+    "memory_estimate": "SELECT CAST(n AS INTEGER) AS n_pixels, pairs, round(n * 156 / 1048576.0, 6) AS observations_mb, round(n * 936 / 1048576.0, 6) AS emissions_mb, round(n * 936 / 1048576.0, 6) AS posteriors_mb, round(n * 1520 / 1048576.0, 6) AS covariates_mb, round(n * 156 / 1048576.0, 6) AS states_out_mb, round(n * 936 / 1048576.0, 6) AS posteriors_out_mb, round(n * (2 * 156 + 5 * 936 + 1520 + CASE WHEN pairs THEN 5472 ELSE 0 END) / 1048576.0, 6) AS total_mb FROM (SELECT CAST(v AS BIGINT) AS n FROM (VALUES (1000), (500000)) AS q0(v)) AS q, (VALUES (true), (false)) AS p(pairs)",
+    "weight_gradient": _sql(PANEL, PRM, E, COV, DTR, _DFB, _XI, select="SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS target, CAST(dd AS INTEGER) AS d, round(sum(miss * x[dd + 1]) + 2 * 0.001::DOUBLE * any_value(w), 4) AS gradient, round((SELECT loss FROM loss), 4) AS loss FROM slope JOIN x USING (pid, t) JOIN w USING (i, j) WHERE i != j GROUP BY i, j, dd"),
+    "pipeline_features": _sql(PANEL, CELLS, KEPT, _NEAR, _KEPT_NEAR, select="SELECT g.pid, CAST(g.t AS INTEGER) AS t, CAST(d AS INTEGER) AS d, round([1.0::DOUBLE, CAST(least(4, coalesce(s.errors, 0)) AS DOUBLE), CASE WHEN g.pid % 11 = 0 THEN 0 ELSE g.pid / 8.0::DOUBLE END, near, fm][d + 1], 6) AS v FROM ktiled g JOIN near USING (pid, t) JOIN focal USING (pid, t) LEFT JOIN s ON s.user_id = g.pid AND s.t = g.t, range(0, 5) q(d) WHERE g.valid AND g.t < 29"),
+    "mosaic_plan": """WITH cat(product, expected, lastyear, gap) AS (VALUES ('tree_cover', 4, 2024, NULL), ('fire_severity', 4, 2022, 2023), ('spei', 12, 2024, NULL), ('spei1y', 12, 2024, NULL)),
+n AS (SELECT CAST(n_nationkey AS INTEGER) AS y FROM nation),
+found AS (SELECT DISTINCT y * 2 + 1986 AS year, p AS product, CASE WHEN (y * 2 + 1986) % 3 = 0 THEN 3 ELSE 12 END AS tiles FROM n, (VALUES ('tree_cover'), ('fire_severity'), ('spei')) AS q(p) WHERE y < 20),
+made AS (SELECT product, year FROM cat JOIN found USING (product) WHERE year <= lastyear AND tiles >= expected AND NOT (product = 'spei' AND year IN (SELECT y + 1990 FROM n WHERE y < 5)))
+SELECT product, CAST(year AS INTEGER) AS year, 'mosaic' AS action FROM made
+UNION ALL SELECT 'fire_severity', unnest([2023, 2024]), 'zero_fill' FROM (SELECT 1 FROM made WHERE product = 'fire_severity' LIMIT 1)
+UNION ALL SELECT 'aridity', NULL, 'mosaic' UNION ALL SELECT 'mask', NULL, 'mosaic'""",
 }

@@ -7,34 +7,54 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cambium.config import PipelineConfig
+from cambium.config import CovariateConfig, PipelineConfig
 from cambium.functions import params as prm
 from cambium.operators import covariates as cov
 from cambium.operators import decode, learn, panel
-from cambium.sources import store
+from cambium.sources import rasters, store
 
-_STATIC = ("elevation", "chili", "aridity")
+_STATIC, _NEAR = ("elevation", "chili", "aridity"), ("seed_distance", "focal_mean")
+_NODATA = {p.name: p.nodata for p in rasters.PRODUCTS}
 
 
-def _with_covariates(series: DataFrame, spark: SparkSession, config: PipelineConfig) -> tuple[DataFrame, int]:
-    """Series with x, the features of T - 1 steps, and their number D."""
-    years, columns = config.io.years, []
-    names = [n for n in config.covariates.names if n in ("seed_distance", "focal_mean") or store.exists(spark, config.io.path(n))]
-    long = series.select("pid", "tile_id", "r", "c", F.posexplode("pct").alias("t", "pct")).withColumn("x", F.coalesce(F.least(F.col("pct") / 100.0, F.lit(0.999)), F.lit(0.0)))
-    if {"seed_distance", "focal_mean"} & set(names):
-        c = config.covariates
-        near = cov.neighbourhood(long, c.seed_threshold, c.focal_radius, c.cell_metres, c.no_seed_metres)
-        long = long.join(near, ["tile_id", "t", "r", "c"])
-    for n in names:
-        if n in _STATIC:
-            long = cov.with_static(long, spark.read.parquet(config.io.path(n)).select("r", "c", F.col("value").alias(n)), ("r", "c"))
-        elif n not in ("seed_distance", "focal_mean"):
-            yearly = spark.read.parquet(config.io.path(n)).select("r", "c", (F.col("year") - years[0]).alias("t"), F.col("value").alias(n))
-            long = cov.with_yearly(long, yearly, n, ("r", "c", "t"))
-        columns.append(F.col(n))
-    if config.covariates.standardize:
-        long = cov.standardized(long, names)
-    return series.join(cov.stacked(long, columns), "pid"), len(names) + 1
+def with_features(cells: DataFrame, tables: dict[str, DataFrame], config: CovariateConfig, length: int, strict: bool = False) -> tuple[DataFrame, int]:
+    """Cells (pid, tile_id, r, c, valid, pct) -> the valid ones with x, the features of length - 1 steps, and their number.
+
+    tables: unchanging covariates (r, c, value) and yearly ones (r, c, t, value) by name; declared missing values become
+    null and so 0 (S8, P8), and a covariate without a table is left out. Covariates are joined to series, one row a
+    cell, and features of the neighbourhood see every cell of a tile, valid or not.
+    """
+    names = [n for n in config.names if n in _NEAR or n in tables]
+    near = {n: (n, config.seed_threshold if n == "seed_distance" else None) for n in names if n in _NEAR}
+    series = cells.where("valid").select("pid", "tile_id", "r", "c", "pct")
+    if near:
+        series = series.join(cov.neighbourhood_series(cells, length, near, config.focal_radius, config.cell_metres, config.no_seed_metres, strict), "pid")
+    for n in (n for n in names if n in tables):
+        found = tables[n].withColumn("value", cov.without_nodata(F.col("value").cast("double"), _NODATA.get(n)))
+        found = found.select("r", "c", F.col("value").alias(n)) if n in _STATIC else panel.series(found, length, ("r", "c"), value="value", kind="double", name=n)
+        series = series.join(found, ["r", "c"], "left")
+    if config.standardize:
+        for n in names:
+            each = series.select((F.col(n) if n in _STATIC else F.explode(n)).alias("v"))
+            row = each.agg(F.mean("v").alias("m"), F.stddev_pop("v").alias("s")).first()
+            mean, spread = F.lit(row["m"] or 0.0), F.lit(row["s"] or 1.0)
+            series = series.withColumn(n, (F.col(n) - mean) / spread if n in _STATIC else F.transform(n, lambda v: (v - mean) / spread))
+    x = cov.stacked_series({n: n not in _STATIC for n in names}, length)
+    return series.select("pid", "tile_id", "r", "c", "pct", x.alias("x")), len(names) + 1
+
+
+def _with_covariates(series: DataFrame | None, spark: SparkSession, config: PipelineConfig) -> tuple[DataFrame, int]:
+    """The valid cells with features, or those of a stored series."""
+    first, tables = config.io.first_year, {}
+    for n in config.covariates.names:
+        if n not in _NEAR and store.exists(spark, config.io.path(n)):
+            found = store.read_cells(spark, config, n)
+            tables[n] = found if n in _STATIC else found.withColumn("t", F.col("year") - first)
+    grid = store.grid_cells(spark, config)
+    cells = grid.join(store.cover_series(spark, config, grid).select("pid", "pct"), "pid", "left")
+    full, d = with_features(cells, tables, config.covariates, len(config.io.years), config.inference.strict)
+    full = full.where("pct is not null")
+    return (full if series is None else series.join(full.select("pid", "x"), "pid")), d
 
 
 def run(spark: SparkSession, config: PipelineConfig, params_path: str | None = None, skip_em: bool = False, store_path: str | None = None, refit_weights: bool = False) -> dict[str, float]:
@@ -50,7 +70,7 @@ def run(spark: SparkSession, config: PipelineConfig, params_path: str | None = N
         series = store.read_tiles(spark, store_path)
     dynamic, d = config.covariates.enabled, 0
     if dynamic:
-        series, d = _with_covariates(series, spark, config)
+        series, d = _with_covariates(series if store_path else None, spark, config)
     params = prm.load(spark, params_path) if params_path else prm.default_params(config.n_states)
     report: dict[str, float] = {}
     chosen = series.join(panel.sample(series.select("pid", "tile_id"), config.em.sample_size, config.em.sample_tiles, config.em.seed).select("pid"), "pid", "left_semi").cache()

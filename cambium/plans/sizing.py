@@ -6,11 +6,12 @@ MB = 1024.0 * 1024.0
 
 
 def estimate(n: int, steps: int = 35, states: int = 5, features: int = 10, pairs: bool = False) -> dict[str, float]:
-    """MB of float32 arrays for n series, by component and in total; pairs adds the expected transitions."""
-    cell = 4 / MB
-    parts = {"observations": n * steps * cell, "emissions": n * steps * states * cell, "alpha": n * steps * states * cell, "beta": n * steps * states * cell, "posteriors": n * steps * states * cell, "covariates": n * max(steps - 1, 0) * features * cell, "transitions": n * max(steps - 1, 0) * states * states * cell}
+    """MB of 32-bit arrays for n series, by component and in total; pairs adds the expected transitions."""
+    step, moves = n * steps * 4 / MB, n * (steps - 1) * 4 / MB
+    parts = {"observations": step, "states_out": step, "covariates": moves * features}
+    parts |= dict.fromkeys(("emissions", "alpha", "beta", "posteriors", "posteriors_out"), step * states)
     if pairs:
-        parts["pairs"] = n * max(steps - 1, 0) * states * states * cell
+        parts["pairs"] = moves * states * states
     return parts | {"total": sum(parts.values())}
 
 

@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Product:
-    """A raster product: type and missing value of its table, files expected, years (none: unchanging)."""
+    """A raster product: type and missing value of its table, tiles that make up a raster, years (none: unchanging)."""
 
     name: str
     kind: str
     nodata: float | None
+    expected_tiles: int
     years: tuple[int, ...] = ()
     gap_years: tuple[int, ...] = ()
 
@@ -24,17 +25,39 @@ class Product:
 _YEARS = tuple(range(1986, 2025))
 #: Years for which burn severity has no data and is filled with 0.
 GAP_YEARS = (2023, 2024)
+# Fixed values. Burn severity has 0 for missing, which is no severity too: its zeros stay.
 PRODUCTS = (
-    Product("tree_cover", "smallint", 255, _YEARS),
-    Product("fire_severity", "tinyint", None, _YEARS, GAP_YEARS),
-    Product("spei", "float", -9999, _YEARS),
-    Product("elevation", "float", -9999),
-    Product("chili", "float", -9999),
-    Product("aridity", "float", -9999),
-    Product("mask", "smallint", 255),
+    Product("tree_cover", "smallint", 255, 4, _YEARS),
+    Product("fire_severity", "tinyint", None, 4, _YEARS[:-2], GAP_YEARS),
+    Product("spei", "float", -9999, 12, _YEARS),
+    Product("spei1y", "float", -9999, 12, _YEARS),
+    Product("elevation", "float", -9999, 12),
+    Product("chili", "float", -9999, 12),
+    Product("aridity", "float", -9999, 30),
+    Product("mask", "smallint", 255, 4),
 )
 
 
+def mosaic_plan(tiles: DataFrame, existing: DataFrame, products: tuple[Product, ...] = PRODUCTS, force: bool = False) -> DataFrame:
+    """(product, year, action) of the rasters to be made, from tiles (product, year, file) and existing rasters (product, year).
+
+    A raster that is there is left alone unless `force`. One is made (`mosaic`) if all expected tiles are there; an
+    incomplete set is skipped. A gap year is filled (`zero_fill`) if there is a raster of a real year, or will be, to
+    take the grid from. Unchanging products have a null year.
+    """
+    spark = tiles.sparkSession
+    rows = [(p.name, y, p.expected_tiles, y in p.gap_years) for p in products for y in (*p.years, *p.gap_years) or (None,)]  # the catalogue: some hundred rows
+    wanted = spark.createDataFrame(rows, "product string, year int, expected int, gap boolean")
+    same = lambda a, b: (F.col(f"{a}.product") == F.col(f"{b}.product")) & F.col(f"{a}.year").eqNullSafe(F.col(f"{b}.year"))
+    found = tiles.groupBy("product", "year").agg(F.countDistinct("file").alias("n"))
+    there = existing.select("product", "year").distinct().withColumn("there", F.lit(True))
+    each = wanted.alias("w").join(found.alias("f"), same("w", "f"), "left").join(there.alias("t"), same("w", "t"), "left")
+    kept = F.coalesce("there", F.lit(False)) & ~F.lit(force)
+    each = each.select("w.product", "w.year", "gap", kept.alias("kept"), (~kept & ~F.col("gap") & (F.coalesce("n", F.lit(0)) >= F.col("expected"))).alias("make"))
+    real = each.groupBy("product").agg(F.bool_or(~F.col("gap") & (F.col("kept") | F.col("make"))).alias("real"))
+    return each.join(real, "product").where(F.col("make") | (F.col("gap") & ~F.col("kept") & F.col("real"))).select("product", "year", F.when(F.col("gap"), "zero_fill").otherwise("mosaic").alias("action"))
+
+
 def discover(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
     """(file) of a folder in order, by Spark's own listing, so in any store."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file")).orderBy("file")

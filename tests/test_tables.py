@@ -199,3 +199,36 @@ def test_memory_model():
 def test_weights_are_kept(spark):
     p = default_params()
     assert HMMParams(p.log_init, p.log_trans, p.emission).weights is None
+
+
+def test_features_see_masked_cells_grids_and_missing_values(spark, tmp_path):
+    """A masked-out cell of 80 % cover is a seed; -9999 is no elevation; covers lie on a grid of their own."""
+    from cambium.plans import pipeline
+
+    root = str(tmp_path)
+    cells = [(r, c) for r in range(4) for c in range(4)]
+    spark.createDataFrame([(r, c, int((r, c) != (1, 1))) for r, c in cells], "r int, c int, mask int").write.parquet(f"{root}/mask")
+    covers = [(r - 2, c - 3, y, 80 if (r, c) == (1, 1) else 0) for r, c in cells for y in (2000, 2001, 2002)]
+    spark.createDataFrame(covers, "r int, c int, year int, pct int").write.parquet(f"{root}/tree_cover")
+    spark.createDataFrame([(r, c, -9999.0 if c else 7.0) for r, c in cells], "r int, c int, value double").write.parquet(f"{root}/elevation")
+    grids = [("mask", 0.0, 0.0, 30.0, -30.0, 4), ("tree_cover", 90.0, -60.0, 30.0, -30.0, 4)]
+    spark.createDataFrame(grids, "grid_id string, x0 double, y0 double, dx double, dy double, width int").write.parquet(f"{root}/grids")
+    config = PipelineConfig(io=IOConfig(root, "x", 2000, 2002), covariates=CovariateConfig(True, ("elevation", "seed_distance", "focal_mean")))
+    found, d = pipeline._with_covariates(None, spark, config)
+    rows = {(x["r"], x["c"]): x["x"] for x in found.collect()}
+    assert d == 4 and set(rows) == set(cells) - {(1, 1)}
+    for (r, c), x in rows.items():
+        assert len(x) == 2 and all(step[:2] == [1.0, 0.0 if c else 7.0] for step in x)
+        assert np.isclose(x[0][2], 30 * np.hypot(r - 1, c - 1)) and x[0][3] > 0
+    scaled, _ = pipeline._with_covariates(None, spark, PipelineConfig(io=config.io, covariates=CovariateConfig(True, ("seed_distance",), standardize=True)))
+    each = np.array([x["x"] for x in scaled.collect()])[:, :, 1]
+    assert abs(each.mean()) < 1e-9 and np.isclose(each.std(), 1)
+
+
+def test_mosaic_plan(spark):
+    few = (rasters.Product("a", "int", None, 2, (1, 2, 3), (4, 5)), rasters.Product("b", "int", None, 1, (1,), (2,)), rasters.Product("c", "int", None, 1))
+    tiles = spark.createDataFrame([("a", 1, "x"), ("a", 1, "y"), ("a", 1, "y"), ("a", 2, "x"), ("c", None, "x")], "product string, year int, file string")
+    there = spark.createDataFrame([("a", 3), ("a", 4)], "product string, year int")
+    plan = lambda **k: {tuple(r) for r in rasters.mosaic_plan(tiles, there, few, **k).collect()}
+    assert plan() == {("a", 1, "mosaic"), ("a", 5, "zero_fill"), ("c", None, "mosaic")}
+    assert plan(force=True) == {("a", 1, "mosaic"), ("a", 4, "zero_fill"), ("a", 5, "zero_fill"), ("c", None, "mosaic")}
