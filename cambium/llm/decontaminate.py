@@ -2,44 +2,77 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from cambium.llm.common import batched, slices, text_bytes
+from cambium.llm.common import U64, batched, slices, stored, text_bytes
 
 Q = 8
-#: Characters of benchmark text in one broadcast shard; a larger benchmark takes several, each with a scan of its own.
+#: Characters of benchmark text in one broadcast shard (a longer item stands alone); a larger benchmark takes several, each with a scan of its own.
 SHARD_CHARS = 1 << 20
-
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
-_MARK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-_LOWER[_MARK] = 32
+#: Shards whose scans are in one plan; then what is left is stored.
+SHARDS_A_PLAN = 4
+#: Items of fewer characters only match between blanks, as a few letters may stand inside other words.
+SHORT = 32
+
+_LOWER = np.arange(1 << 16, dtype=np.uint32)
+for _c in range(1 << 16):
+    if not (chr(_c).isalnum() or unicodedata.category(chr(_c))[0] == "M"):
+        _LOWER[_c] = 32
+    elif (_l := chr(_c).lower()) != chr(_c):
+        _LOWER[_c] = ord(_l[0])
+
+
+def characters(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of texts given as UTF-8, and their offsets in code points; bytes that aren't UTF-8 count as one unknown character each run."""
+    try:
+        codes = np.frombuffer(buf.tobytes().decode().encode("utf-32-le"), "<u4")
+        count = np.zeros(len(buf) + 1, np.int64)
+        np.cumsum((buf & 0xC0) != 0x80, out=count[1:])
+        return codes, count[offsets]
+    except UnicodeDecodeError:
+        each = [np.frombuffer(buf[a:b].tobytes().decode(errors="replace").encode("utf-32-le"), "<u4") for a, b in zip(offsets, offsets[1:])]
+        return np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
 
 
 def normalised(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased letters and digits, each run of other ASCII one blank; their byte positions, and offsets of texts."""
-    low = _LOWER[buf]
-    if len(buf) > 1:  # Latin capitals with accents: the byte after C3
-        accented = (buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] <= 0x9E) & (buf[1:] != 0x97)
-        low[1:][accented] += 32
+    """Lower-cased letters and digits of any script, each run of other characters one blank; their places in code points, and offsets of texts."""
+    codes, offsets = characters(buf, offsets)
+    low = np.where(codes < 1 << 16, _LOWER[np.minimum(codes, (1 << 16) - 1)], codes).astype(np.uint32)
     blank = low == 32
-    again = np.zeros(len(buf), bool)
+    again = np.zeros(len(low), bool)
     again[1:] = blank[1:] & blank[:-1]
     firsts = offsets[:-1]
-    again[firsts[firsts < len(buf)]] = False
+    again[firsts[firsts < len(low)]] = False
     kept = np.flatnonzero(~again)
     return low[kept], kept, np.searchsorted(kept, offsets)
 
 
 def grams(text: np.ndarray) -> np.ndarray:
-    """Every run of eight bytes as one integer."""
-    return np.ndarray((max(0, len(text) - Q + 1),), "<u8", np.ascontiguousarray(text).data, 0, (1,)).copy() if len(text) >= Q else np.zeros(0, "<u8")
+    """A hash of every run of eight characters; what shares one by chance is sorted out by the alignment."""
+    out = np.zeros(max(0, len(text) - Q + 1), U64)
+    for j in range(Q if len(out) else 0):
+        out = out * U64(0x9E3779B97F4A7C15) + text[j : j + len(out)]
+    return out
+
+
+def occurrences(pattern: np.ndarray, region: np.ndarray) -> list[int]:
+    """All starts of the pattern in the region."""
+    needle, hay, out, at = pattern.tobytes(), region.tobytes(), [], 0
+    while (at := hay.find(needle, at)) >= 0:
+        if at % 4 == 0:
+            out.append(at // 4)
+        at += 1
+    return out
 
 
 @dataclass
@@ -47,7 +80,9 @@ class Shard:
     """Benchmark items with the index of their q-grams."""
 
     ids: list
-    texts: list[bytes]
+    texts: list[np.ndarray]
+    #: Added to diagonals, so that none is negative.
+    lead: int
     budget: np.ndarray
     need: np.ndarray
     stride: np.ndarray
@@ -58,18 +93,18 @@ class Shard:
     seen: np.ndarray
 
     @classmethod
-    def of(cls, ids: list, texts: list[bytes], rate: float) -> Shard:
+    def of(cls, ids: list, texts: list[np.ndarray], rate: float) -> Shard:
         sizes = np.array([len(t) for t in texts], np.int64)
         budget = np.minimum((sizes * rate).astype(np.int64), (sizes - Q) // Q)  # so that at least one q-gram must stay
-        each = [grams(np.frombuffer(t, np.uint8)) for t in texts]
+        each = [grams(t) for t in texts]
         owner = np.repeat(np.arange(len(texts)), [len(g) for g in each])
         place = np.concatenate([np.arange(len(g)) for g in each]) if each else np.zeros(0, np.int64)
-        every = np.concatenate(each) if each else np.zeros(0, "<u8")
+        every = np.concatenate(each) if each else np.zeros(0, U64)
         order = np.argsort(every, kind="stable")
         keys, first = np.unique(every[order], return_index=True)
         seen = np.zeros(1 << max(16, int(16 * len(keys) + 1).bit_length()), bool)
         seen[slot(keys, len(seen))] = True
-        return cls(ids, texts, budget, sizes - Q + 1 - budget * Q, np.maximum(budget + 1, 16), keys, np.append(first, len(every)), owner[order], place[order], seen)
+        return cls(ids, texts, int(sizes.max()) + 1, budget, sizes - Q + 1 - budget * Q, np.maximum(budget + 1, 16), keys, np.append(first, len(every)), owner[order], place[order], seen)
 
     def bands(self, text: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(text index, item, band, hits) of the diagonal bands with as many shared q-grams as the lemma asks for.
@@ -90,9 +125,9 @@ class Shard:
         many = self.first[key + 1] - self.first[key]
         pick = np.repeat(self.first[key] - np.cumsum(many) + many, many) + np.arange(many.sum())
         item = self.owner[pick]
-        diagonal = np.repeat(at, many) - self.place[pick] + (1 << 20)  # never negative: items are shorter than a shard
+        diagonal = np.repeat(at, many) - self.place[pick] + self.lead
         band = diagonal // self.stride[item]
-        wide = (len(text) + (1 << 21)) // 16 + 2
+        wide = (len(text) + 2 * self.lead) // 16 + 2
         code = (np.repeat(doc, many) * len(self.texts) + item) * wide + band
         codes, counts = np.unique(np.concatenate([code, code - 1]), return_counts=True)
         owner = codes // wide % len(self.texts)
@@ -101,26 +136,31 @@ class Shard:
             yield c // wide // len(self.texts), c // wide % len(self.texts), c % wide, n
 
     def matches(self, text: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-        """(text index, item, start, end, edits): for each text and item the match with the fewest edits, the first of such."""
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        """(text index, item, start, end, edits): of each text and item all matches that don't overlap, those with the fewest edits (then the first) chosen first."""
+        found: dict[tuple[int, int], set[tuple[int, int, int]]] = {}
         inexact = []
         for doc, item, band, _ in self.bands(text, offsets):
-            low = band * int(self.stride[item]) - (1 << 20)
-            a, b = max(low, int(offsets[doc])), min(low + 2 * int(self.stride[item]) + len(self.texts[item]), int(offsets[doc + 1]))
-            if (exact := text[a:b].tobytes().find(self.texts[item])) < 0:
+            low, size = band * int(self.stride[item]) - self.lead, len(self.texts[item])
+            a, b = max(low, int(offsets[doc])), min(low + 2 * int(self.stride[item]) + size, int(offsets[doc + 1]))
+            if exact := occurrences(self.texts[item], text[a:b]):
+                found.setdefault((doc, item), set()).update((0, a + x, a + x + size) for x in exact)
+            else:
                 inexact.append((doc, item, low, a, b))
-            elif (doc, item) not in best or a + exact < best[doc, item][1]:
-                best[doc, item] = 0, a + exact, a + exact + len(self.texts[item])
-        inexact = [x for x in inexact if x[:2] not in best]
+        near = lambda c: any(abs(x - c[2]) <= 3 * int(self.stride[c[1]]) for e, x, _ in found.get(c[:2], ()) if not e)
+        inexact = [c for c in inexact if not near(c)]  # the alignment of a band beside an exact match is that match
         for at in range(0, len(inexact), 256):
             part = inexact[at : at + 256]
             for (doc, item, _, a, b), edits in zip(part, self.banded(text, part).tolist()):
-                if edits <= self.budget[item] and ((old := best.get((doc, item))) is None or (edits, a) < old[:2]):
-                    start, end, edits = placed(self.texts[item], text[a:b].tobytes())
-                    if old is None or (edits, a + start) < old[:2]:
-                        best[doc, item] = edits, a + start, a + end
-        for (doc, item), (edits, a, b) in best.items():
-            yield doc, item, a, b, edits
+                if edits <= self.budget[item]:
+                    start, end, edits = placed(self.texts[item], text[a:b])
+                    found.setdefault((doc, item), set()).add((edits, a + start, a + end))
+        for (doc, item), all_ in found.items():
+            taken: list[tuple[int, int]] = []
+            for edits, a, b in sorted(all_):
+                whole = len(self.texts[item]) >= SHORT or (a == offsets[doc] or text[a - 1] == 32) and (b == offsets[doc + 1] or text[b] == 32)
+                if whole and all(b <= x or a >= y for x, y in taken):
+                    taken.append((a, b))
+                    yield doc, item, a, b, edits
 
     def banded(self, text: np.ndarray, candidates: list[tuple[int, int, int, int, int]]) -> np.ndarray:
         """Fewest edits of each candidate (text, item, lowest diagonal, from, to) on the diagonals of its band.
@@ -131,12 +171,12 @@ class Shard:
         items = [c[1] for c in candidates]
         sizes = np.array([len(self.texts[i]) for i in items])
         most, width = int(sizes.max()), 2 * int(self.stride[items].max()) + 1
-        pattern = np.zeros((len(items), most), np.uint8)
+        pattern = np.zeros((len(items), most), np.uint32)
         for row, i in enumerate(items):
-            pattern[row, : len(self.texts[i])] = np.frombuffer(self.texts[i], np.uint8)
+            pattern[row, : len(self.texts[i])] = self.texts[i]
         low, start, end = (np.array([c[x] for c in candidates])[:, None] for x in (2, 3, 4))
         at = low + np.arange(most + width)
-        region = np.where((at >= start) & (at < end), text[np.clip(at, 0, len(text) - 1)], 255)  # no byte of UTF-8
+        region = np.where((at >= start) & (at < end), text[np.clip(at, 0, len(text) - 1)], np.uint32(0xFFFFFFFF))  # no character
         step = np.arange(width, dtype=np.int32)
         row, out = np.zeros((len(items), width), np.int32), np.zeros(len(items), np.int32)
         for i in range(most):
@@ -165,13 +205,12 @@ def _ends(pattern: np.ndarray, text: np.ndarray) -> np.ndarray:
     return row
 
 
-def placed(pattern: bytes, region: bytes) -> tuple[int, int, int]:
+def placed(pattern: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
     """(start, end, edits) of the best alignment of the pattern within a region."""
-    p, t = np.frombuffer(pattern, np.uint8), np.frombuffer(region, np.uint8)
-    ends = _ends(p, t)
+    ends = _ends(pattern, region)
     end = int(ends.argmin())
     edits = int(ends[end])
-    back = _ends(p[::-1], t[:end][::-1])
+    back = _ends(pattern[::-1], region[:end][::-1])
     return end - int(np.flatnonzero(back == edits)[0]), end, edits
 
 
@@ -180,12 +219,12 @@ def shards(benchmark: DataFrame, rate: float, min_chars: int) -> Iterator[Shard]
     ids, texts, size = [], [], 0
     for row in benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text").distinct().orderBy("item_id", "text").toLocalIterator():
         raw = np.frombuffer(row["text"].encode(), np.uint8)
-        clean = normalised(raw, np.array([0, len(raw)]))[0].tobytes().strip()
-        if not min_chars <= len(clean) <= SHARD_CHARS:
-            if len(clean) > SHARD_CHARS:
-                raise ValueError(f"benchmark item {row['item_id']} has more than {SHARD_CHARS} characters: split it into passages")
+        clean = normalised(raw, np.array([0, len(raw)]))[0]
+        ink = np.flatnonzero(clean != 32)
+        clean = clean[ink[0] : ink[-1] + 1] if len(ink) else clean[:0]
+        if len(clean) < max(min_chars, Q):
             continue
-        if size + len(clean) > SHARD_CHARS:
+        if texts and size + len(clean) > SHARD_CHARS:
             yield Shard.of(ids, texts, rate)
             ids, texts, size = [], [], 0
         ids.append(row["item_id"])
@@ -195,54 +234,63 @@ def shards(benchmark: DataFrame, rate: float, min_chars: int) -> Iterator[Shard]
         yield Shard.of(ids, texts, rate)
 
 
-def _scan(docs: DataFrame, shard: Shard, mode: str) -> DataFrame:
+def _scan(docs: DataFrame, shard: Shard, item: T.DataType | None) -> DataFrame:
+    """The matches of a shard's items, or, without a type of item ids, the rows that have none."""
     batched(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(shard)
+    kind = item and to_arrow_type(item)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = shared.value
         for batch in slices(batches):
-            buf, offsets = text_bytes(batch.column("text"))
-            text, places, at = normalised(buf, offsets)
-            if mode == "clean":
-                bad = {doc for doc, *_ in shard.matches(text, at)}
+            text, places, at = normalised(*text_bytes(batch.column("text")))
+            found = sorted(shard.matches(text, at))
+            if kind is None:
+                bad = {doc for doc, *_ in found}
                 yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_()))
                 continue
-            rows = []
-            for doc, item, a, b, edits in sorted(shard.matches(text, at)):
-                raw, base = buf[offsets[doc] : offsets[doc + 1]].tobytes(), offsets[doc]
-                start, end = int(places[a] - base), int(places[b - 1] - base) + 1
-                before = len(raw[:start].decode(errors="ignore"))
-                rows.append((doc, shard.ids[item], before, before + len(raw[start:end].decode(errors="ignore")), edits))
-            doc, item, start, end, edits = zip(*rows) if rows else ([],) * 5
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc, pa.int64())), pa.array(item, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(edits, pa.int32())], ["doc_id", "item_id", "start", "end", "edits"])
-
-    if mode == "clean":
+            base = [int(places[at[doc]]) for doc, *_ in found]  # a text that matches has a first character
+            columns = [[shard.ids[i] for _, i, *_ in found], [int(places[a]) - x for (_, _, a, _, _), x in zip(found, base)], [int(places[b - 1]) + 1 - x for (_, _, _, b, _), x in zip(found, base)], [e for *_, e in found]]
+            values = [pa.array(c, t) for c, t in zip(columns, (kind, pa.int64(), pa.int64(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array([doc for doc, *_ in found], pa.int64())), *values], ["doc_id", "item_id", "start", "end", "edits"])
+
+    if kind is None:
         return docs.mapInArrow(run, docs.schema)
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, start long, end long, edits int")
+    return docs.select("doc_id", "text").mapInArrow(run, _matches(docs, item))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, min_chars: int = 32) -> DataFrame:
-    """(doc_id, item_id, start, end, edits): for each document and benchmark item the passage with the fewest edits.
+def _matches(docs: DataFrame, item: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("item_id", item), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("edits", T.IntegerType())])
 
-    Texts are compared as lower-case letters and digits, other ASCII as blanks; an item matches a passage within
-    rate x its length edits (fewer for items under 40 characters, so that the lemma holds). start and end are code
-    points of the document. Null and empty texts and items match nothing, nor do items of under `min_chars`
-    characters. Ties: the first passage. Repeated rows give repeated matches; equal items with other ids match each.
-    Very long texts are scanned whole. The benchmark is broadcast in shards of bounded size; documents aren't shuffled.
+
+def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, min_chars: int = Q) -> DataFrame:
+    """(doc_id, item_id, start, end, edits): of each document and benchmark item all passages that match and don't overlap.
+
+    Texts are compared as lower-case letters and digits of any script, other characters as blanks; an item matches a
+    passage within rate x its length edits (fewer for items under 40 characters, so that the lemma holds; items under
+    SHORT characters between blanks only). An item matches as a whole. start and end are code points of the document.
+    Null and empty texts and items match nothing, nor do items of under `min_chars` characters, of which there is no
+    q-gram (8 at least). Of overlapping passages the one with the fewest edits counts, then the first. Repeated rows
+    give repeated matches; equal items with other ids match each. Very long texts are scanned whole. The benchmark is
+    broadcast in shards of bounded size, a few at a time; documents aren't shuffled.
     """
-    found = None
+    item = benchmark.schema["item_id"].dataType
+    done, open_ = [], []
     for shard in shards(benchmark, rate, min_chars):
-        part = _scan(docs, shard, "leaks")
-        found = part if found is None else found.unionByName(part)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return found if found is not None else docs.sparkSession.createDataFrame([], f"doc_id {kind}, item_id long, start long, end long, edits int")
+        open_.append(_scan(docs, shard, item))
+        if len(open_) == SHARDS_A_PLAN:
+            done.append(stored(reduce(DataFrame.unionByName, open_)))
+            open_ = []
+    found = done + open_
+    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], _matches(docs, item))
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, min_chars: int = 32) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, min_chars: int = Q) -> DataFrame:
     """The rows of docs, columns unchanged, in which `leaks` finds no item. One narrow pass for each benchmark shard."""
-    for shard in shards(benchmark, rate, min_chars):
-        docs = _scan(docs, shard, "clean")
+    for n, shard in enumerate(shards(benchmark, rate, min_chars), 1):
+        docs = _scan(docs, shard, None)
+        if n % SHARDS_A_PLAN == 0:
+            docs = stored(docs)
     return docs
 
 

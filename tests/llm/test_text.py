@@ -18,7 +18,7 @@ from cambium.llm.queries import QUERIES
 SF = "/root/testdata/sf0.001"
 
 
-def edits(pattern: bytes, text: bytes) -> int:
+def edits(pattern: str, text: str) -> int:
     """Fewest edits between the pattern and any run of the text."""
     row = [0] * (len(text) + 1)
     for i, p in enumerate(pattern, 1):
@@ -29,9 +29,9 @@ def edits(pattern: bytes, text: bytes) -> int:
     return min(row)
 
 
-def clean(text: str) -> bytes:
+def clean(text: str) -> str:
     raw = np.frombuffer((text or "").encode(), np.uint8)
-    return decontaminate.normalised(raw, np.array([0, len(raw)]))[0].tobytes()
+    return "".join(map(chr, decontaminate.normalised(raw, np.array([0, len(raw)]))[0]))
 
 
 def test_op2_equals_all_alignments(spark):
@@ -293,3 +293,27 @@ def test_op5_is_linear(spark):
     began = time.time()
     got = {r["doc_id"]: r["n"] for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).selectExpr("doc_id", "size(secrets) AS n").collect()}
     assert got == {0: 1, 1: 0, 2: 25_000, 3: 0, 4: 0} and time.time() - began < 120
+
+
+def test_op8_letters_and_rejection(spark, model):
+    docs = spark.createDataFrame([(1, "² ½ 12"), (2, "Ⅷ ٣ _"), (3, "the 12 of"), (4, "漢字")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in language.identify(docs, model).collect()}
+    assert [got[i]["lang_pred"] == "und" for i in (1, 2, 3, 4)] == [True, True, False, False] and got[1]["lang_rejected"]
+    assert {"rejected", "held_out", "score"} <= set(QUERIES["op8_language"](spark, SF).columns)
+    kept = language.cleaned({"a": ["eins zwei drei vier " * 30], "b": ["eins zwei drei vier " * 30]}, 4096)
+    assert [x for x, _ in kept.dictionaries] == ["a", "b"]
+
+
+def test_op2_all_passages_scripts_and_ids(spark, monkeypatch):
+    cyr = "Быстрая коричневая лиса прыгает через ленивую собаку ночью"
+    bench = spark.createDataFrame([("a", cyr), ("b", "what is the capital of x9?"), ("c", "tiny one"), ("d", "z" * 30 + " " + "pq " * 20)], "item_id string, text string")
+    wrong = cyr.replace("лиса", "лисы")
+    docs = [(1, f"да {cyr.upper()} и {wrong}, {cyr}"), (2, "so: What is the -- capital of X9!"), (3, "a tiny one, tinyones"), (4, "tiny ones only"), (5, None), (6, ("z" * 30 + " " + "pq " * 20) * 2)]
+    for chars in (1 << 20, 40):  # the second: every item in a shard of its own, stored now and then
+        monkeypatch.setattr(decontaminate, "SHARD_CHARS", chars)
+        monkeypatch.setattr(decontaminate, "SHARDS_A_PLAN", 2)
+        frame = spark.createDataFrame(docs, "doc_id long, text string")
+        got = sorted((r["doc_id"], r["item_id"], r["start"], r["edits"]) for r in decontaminate.leaks(frame, bench).collect())
+        assert [(d, i, e) for d, i, _, e in got] == [(1, "a", 0), (1, "a", 1), (1, "a", 0), (2, "b", 0), (3, "c", 0), (6, "d", 0), (6, "d", 0)]
+        assert [s for d, _, s, _ in got if d == 1] == [3, 6 + len(cyr), 8 + 2 * len(cyr)]
+        assert sorted(r["doc_id"] for r in decontaminate.keep_clean(frame, bench).collect()) == [4, 5]
