@@ -168,3 +168,22 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Four bits of a byte in lanes of 16 bits each, for sums over many bytes at once, and how many a lane can hold.
+_LANES = [np.array([sum((b >> (4 * half + i) & 1) << (16 * i) for i in range(4)) for b in range(256)], U64) for half in (0, 1)]
+_MOST_LANE = 60_000
+
+
+def bit_sums(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """How many hashes of each group, which begin at `at`, have each of 64 bits."""
+    edges = np.unique(np.concatenate([at, np.arange(0, len(hashes), _MOST_LANE)]))  # no lane overflows
+    raw = hashes.view(np.uint8).reshape(-1, 8)
+    out = np.zeros((len(at), 64), np.int64)
+    group = np.searchsorted(at, edges, side="right") - 1
+    for byte in range(8):
+        for half, lanes in enumerate(_LANES):
+            sums = np.add.reduceat(lanes[raw[:, byte]], edges)
+            for i in range(4):
+                out[:, 8 * byte + 4 * half + i] = np.bincount(group, (sums >> U64(16 * i) & U64(0xFFFF)).astype(np.float64), len(at))
+    return out

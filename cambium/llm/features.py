@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cambium.llm.common import SPREAD, distinct, held_out, mixed, prefix, ranged, text_bytes, words_of
+from cambium.llm.common import SPREAD, bit_sums, distinct, held_out, mixed, prefix, ranged, text_bytes, words_of
 
 #: Words in a passage.
 PASSAGE = 64
 #: Statistics of a passage, and of a whole text.
 N_STATS, N_TEXT = 14, 4
+#: Columns of projected words.
+N_WORDS = 64
 BUCKETS = 1 << 20
 
 _UPPER, _DIGIT, _MARK, _SYMBOL, _HIGH, _LETTER = 1, 2, 3, 4, 5, 6
@@ -62,11 +64,16 @@ class Passages:
     words: np.ndarray
 
 
-def passages(array: pa.Array) -> Passages:
-    """Statistics of every passage of every text; a text without words has one passage of zeros."""
+def passages(array: pa.Array, projected: bool = False) -> Passages:
+    """Statistics of every passage of every text; a text without words has one passage of zeros.
+
+    projected: N_WORDS more columns, the hashed lower-case words of the passage, projected: each word adds 1 or -1 to each
+    column by a bit of its hash, and the sum is over the root of their number.
+    """
     buf, offsets = text_bytes(array)
     starts, ends, first_word = words_of(buf, offsets)
     n_words = np.diff(first_word)
+    low = _LOWER[buf] if projected else buf
     many = np.maximum(1, -(-n_words // PASSAGE))
     first = np.concatenate([[0], np.cumsum(many)])
     text = np.repeat(np.arange(len(n_words)), many)
@@ -113,7 +120,13 @@ def passages(array: pa.Array) -> Passages:
     lines = np.bincount(owner, minlength=len(n_words))[: len(n_words)]
     unlike = _distinct(owner, ranged(sums, line_at, line_end), len(n_words)) if len(line_at) else np.zeros(len(n_words))
     of_text = np.stack([np.log1p(n_words), whole, np.log1p(lines), unlike / np.maximum(lines, 1)], axis=1)
-    return Passages(np.hstack([stats, of_text[text]]), first, n_words)
+    if not projected:
+        return Passages(np.hstack([stats, of_text[text]]), first, n_words)
+    more, some = np.zeros((len(lead), N_WORDS)), np.diff(edges) > 0
+    if some.any():
+        count = np.diff(edges)[some][:, None]
+        more[some] = (2 * bit_sums(mixed(ranged(prefix(SPREAD[low]), starts, ends)), lead[some]) - count) / np.sqrt(count)
+    return Passages(np.hstack([stats, of_text[text], more]), first, n_words)
 
 
 def bag(array: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -137,13 +150,13 @@ def bag(array: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray,
     return codes // BUCKETS, codes % BUCKETS
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """About `rows` labelled documents at most (doc_id, text, quality, toxic) that aren't held out, by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, wanted: tuple[str, ...] = ("quality", "toxic")) -> DataFrame:
+    """About `rows` labelled documents at most (doc_id, text, the wanted labels) that aren't held out, by a hash of the id.
 
-    Repeated labels of a document count once (the smallest of each); rows with null ids, labels or texts don't count.
-    The sampled labels are broadcast: there are at most about `rows` of them, whatever the input.
+    Repeated labels of a document count once (the smallest of each); rows with a null id, text or wanted label don't
+    count. The sampled labels are broadcast: there are at most about `rows` of them, whatever the input.
     """
-    each = labels.where(~held_out() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("toxic").alias("toxic")).where("quality is not null and toxic is not null")
+    each = labels.where(~held_out() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*[F.min(n).alias(n) for n in wanted]).dropna(subset=list(wanted))
     total = each.count()
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24)) / float(1 << 24)
     picked = each.where(draw < F.lit(min(1.0, rows / max(total, 1))))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +15,10 @@ from pyspark.sql import types as T
 from cambium.llm.common import batched, held_out
 
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def _has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
 
 
 @dataclass(frozen=True)
@@ -42,7 +44,7 @@ class LanguageModel:
 
     def predict(self, text: str | None, compressors: list[zstandard.ZstdCompressor]) -> tuple[str, float, int]:
         """Language (ties: the first by name), score, and the bytes that the runner-up needs more."""
-        if not text or not compressors or not _LETTER.search(text):
+        if not text or not compressors or not _has_letter(text):
             return UNKNOWN, 0.0, 0
         raw = text.lower().encode()
         pieces = [raw[i : i + self.piece] for i in range(0, len(raw), self.piece)]
@@ -53,20 +55,23 @@ class LanguageModel:
         return self.dictionaries[best][0], float(score), int(np.delete(gaps, best).min()) if len(gaps) > 1 else self.margin
 
 
-def fit(docs: DataFrame, dictionary_bytes: int = 64 << 10, sample_docs: int = 160, sample_chars: int = 4096) -> LanguageModel:
-    """Dictionaries from a bounded sample of labelled rows: `sample_docs` a language, of each `sample_chars` at most.
+def fit(docs: DataFrame, dictionary_bytes: int = 64 << 10, sample_docs: int = 160, sample_chars: int = 4096, languages: int = 256) -> LanguageModel:
+    """Dictionaries from a bounded sample of labelled rows: `sample_docs` a language, of each a run of `sample_chars` at most.
 
     Only text and non-null lang are used, of rows that `held_out` doesn't hold out; rows with a null or empty text or
-    lang aren't sampled, and equal texts count once. The sample is by hash, so it doesn't depend on the order of rows.
-    Runs of another language within the sample are left out, see `cleaned`.
+    lang aren't sampled, and equal texts count once. The sample and the place of each run are by hash, so they don't
+    depend on the order of rows. Of more than `languages` values of lang, the most frequent ones are learned. Runs of
+    another language within the sample are left out, see `cleaned`.
     """
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     if not counts:
         return LanguageModel(())
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 1.5 * sample_docs / n)))])
-    sample = rows.where(draw < F.element_at(share, F.col("lang"))).select("lang", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, sample_chars).alias("text")).collect()
+    start = F.pmod(F.xxhash64("doc_id", F.lit("run")), F.greatest(F.length("text") - sample_chars + 1, F.lit(1))) + 1
+    run = F.col("text").substr(start.cast("int"), F.lit(sample_chars))
+    sample = rows.where(draw < F.element_at(share, F.col("lang"))).select("lang", F.xxhash64("doc_id").alias("h"), run.alias("text")).collect()
     texts: dict[str, list[str]] = {lang: [] for lang in sorted(counts)}
     for r in sorted(sample, key=lambda r: (r["lang"], r["h"], r["text"])):
         texts[r["lang"]].append(r["text"].lower())
@@ -74,7 +79,11 @@ def fit(docs: DataFrame, dictionary_bytes: int = 64 << 10, sample_docs: int = 16
 
 
 def _model(lines: dict[str, list[str]], dictionary_bytes: int) -> LanguageModel:
-    packed = ((lang, "\n".join(x).encode()[:dictionary_bytes]) for lang, x in sorted(lines.items()))
+    """Dictionaries of as many whole lines as fit (the first line in part, if it is longer)."""
+    packed = []
+    for lang, x in sorted(lines.items()):
+        sizes = np.cumsum([len(line.encode()) + 1 for line in x])
+        packed.append((lang, "\n".join(x[: max(1, int(np.searchsorted(sizes, dictionary_bytes, side="right")))]).encode()[:dictionary_bytes]))
     return LanguageModel(tuple(x for x in packed if len(x[1]) >= 8))
 
 
@@ -83,7 +92,7 @@ def cleaned(texts: dict[str, list[str]], dictionary_bytes: int, words: int = 16,
 
     Each half of a language's texts is judged by dictionaries of the other halves; runs that compress clearly better as
     another language are left out of the dictionaries. The next pass judges by what was left. Lines that the samples of
-    two languages share are left out at once.
+    two languages share are left out at once. A language of which under 1,024 characters would stay keeps its texts.
     """
     owners: dict[str, set[str]] = {}
     for lang, x in texts.items():
@@ -94,7 +103,9 @@ def cleaned(texts: dict[str, list[str]], dictionary_bytes: int, words: int = 16,
     for _ in range(passes):
         judges = [_model(half, dictionary_bytes) for half in halves]
         halves = [{lang: _fitting(lang, runs, judge) for lang, runs in half.items()} for half, judge in zip(halves, judges[::-1])]
-    return _model({lang: halves[0][lang] + halves[1][lang] for lang in texts}, dictionary_bytes)
+    own = {lang: halves[0][lang] + halves[1][lang] for lang in texts}
+    short = lambda x: sum(map(len, x)) < 1024
+    return _model({lang: texts[lang] if short(x) else x for lang, x in own.items()}, dictionary_bytes)
 
 
 def _fitting(lang: str, runs: list[str], judge: LanguageModel) -> list[str]:
@@ -139,4 +150,4 @@ def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
 def op8_language(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = identify(docs.select("doc_id", "text"), fit(docs))
-    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cambium.llm.common import batched, held_out, slices
-from cambium.llm.features import N_STATS, N_TEXT, labelled_sample, passages
+from cambium.llm.features import N_STATS, N_TEXT, N_WORDS, labelled_sample, passages
 
 #: Labelled documents that the model is fitted on, at most (about).
 FIT_ROWS = 6000
@@ -82,17 +82,17 @@ def train(stats: np.ndarray, first: np.ndarray, y: np.ndarray, epochs: int = 40,
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> AttentionModel:
-    """The model from whole texts of a bounded sample of labelled, not held-out documents; only statistics are gathered."""
+    """The model from whole texts of a bounded sample of labelled, not held-out documents; only passages' inputs (statistics and projected words) are gathered."""
     batched(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            found = passages(b.column("text"))
+            found = passages(b.column("text"), projected=True)
             flat = pa.array(found.stats.astype(np.float32).ravel())
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.string()), b.column("quality").cast(pa.int32()), pa.ListArray.from_arrays(pa.array((found.first * found.stats.shape[1]).astype(np.int32)), flat)], ["id", "y", "x"])
 
-    sample = labelled_sample(docs, labels, rows).select("doc_id", "text", "quality").mapInArrow(run, "id string, y int, x array<float>").toArrow().sort_by("id")
-    d = N_STATS + N_TEXT
+    sample = labelled_sample(docs, labels, rows, ("quality",)).select("doc_id", "text", "quality").mapInArrow(run, "id string, y int, x array<float>").toArrow().sort_by("id")
+    d = N_STATS + N_TEXT + N_WORDS
     lists = sample.column("x").combine_chunks()
     many = np.asarray(pc.list_value_length(lists), np.int64) // d
     flat = np.asarray(lists.flatten(), np.float64).reshape(-1, d)
@@ -111,7 +111,7 @@ def score(docs: DataFrame, model: AttentionModel, cut: float = 0.3) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in slices(batches):
-            found = passages(b.column("text"))
+            found = passages(b.column("text"), projected=True)
             p = model.scores(found.stats, found.first)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p), pa.array((p >= cut).astype(np.int32))], ["doc_id", "score", "predicted"])
 

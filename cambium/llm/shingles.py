@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cambium.llm.common import U64, batched, durable, mixed, prefix, ranged, slices, stored, text_bytes, told_apart, word_hashes, words_of
+from cambium.llm.common import U64, batched, bit_sums, durable, mixed, prefix, ranged, slices, stored, text_bytes, told_apart, word_hashes, words_of
 from cambium.llm.components import connected_components
 
 #: Similarity asked for, as a fraction of integers, so that no rounding decides.
@@ -31,9 +31,6 @@ FAR = 58
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SEEDS = mixed(np.arange(1, SALTS + LONGS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
-#: Four bits of a byte in lanes of 16 bits each, for sums over many bytes at once.
-_LANES = [np.array([sum((b >> (4 * half + i) & 1) << (16 * i) for i in range(4)) for b in range(256)], U64) for half in (0, 1)]
-_MOST_LANE = 60_000
 
 
 def shingle_hashes(text: bytes, shingle: int) -> list[int]:
@@ -68,20 +65,6 @@ def shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]
     return hashes[new], np.searchsorted(owner[new], np.arange(len(many) + 1))
 
 
-def _bit_sums(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """How many hashes of each group, which begin at `at`, have each of 64 bits."""
-    edges = np.unique(np.concatenate([at, np.arange(0, len(hashes), _MOST_LANE)]))  # no lane overflows
-    raw = hashes.view(np.uint8).reshape(-1, 8)
-    out = np.zeros((len(at), 64), np.int64)
-    group = np.searchsorted(at, edges, side="right") - 1
-    for byte in range(8):
-        for half, lanes in enumerate(_LANES):
-            sums = np.add.reduceat(lanes[raw[:, byte]], edges)
-            for i in range(4):
-                out[:, 8 * byte + 4 * half + i] = np.bincount(group, (sums >> U64(16 * i) & U64(0xFFFF)).astype(np.float64), len(at))
-    return out
-
-
 def prints(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each text's set: digest, size, salts (n, SALTS) and fingerprint (n, LONGS); zeros of an empty set."""
     hashes, offsets = shingle_sets(texts, shingle)
@@ -94,7 +77,7 @@ def prints(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray, np.nd
         for i in range(SALTS):
             salts[some, i] = mixed(np.minimum.reduceat(mixed(hashes ^ _SEEDS[i]), at) + _SEEDS[i])
         for i in range(LONGS):
-            bits = 2 * _bit_sums(mixed(hashes ^ _SEEDS[SALTS + i]), at) > n[some][:, None]
+            bits = 2 * bit_sums(mixed(hashes ^ _SEEDS[SALTS + i]), at) > n[some][:, None]
             marks[some, i] = np.packbits(bits, axis=1, bitorder="little").view("<u8")[:, 0]
     return digest, n, salts, marks
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,8 +18,8 @@ FIT_ROWS = 12000
 #: Hashed words kept for each category, those whose share differs most between its classes.
 FEATURES = 3000
 FOLDS = 3
-#: From this probability on a document counts as toxic; at 1 toxic row in 10, log loss on a sample errs to the low side.
-CUT = 0.25
+#: Steps in which cuts are tried on out-of-fold probabilities.
+CUTS = np.arange(0.05, 0.951, 0.05)
 #: The categories in the order of the chain: name, label column, the label's value that means the category.
 CATEGORIES = (("low_quality", "quality", 0), ("toxic", "toxic", 1))
 
@@ -39,6 +40,8 @@ class Chain:
     mean: np.ndarray
     scale: np.ndarray
     models: tuple[Linear, ...]
+    #: For each category the probability from which on a document counts as of it.
+    cuts: tuple[float, ...]
 
     def probabilities(self, texts: pa.Array) -> np.ndarray:
         """(texts, categories)."""
@@ -94,41 +97,60 @@ def _select(owner: np.ndarray, bucket: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sort(np.argsort(-gain, kind="stable")[: min(FEATURES, int((gain > 0).sum()))])
 
 
-def train(owner: np.ndarray, bucket: np.ndarray, dense: np.ndarray, labels: list[np.ndarray], names: tuple[str, ...]) -> Chain:
+def _fitted(owner: np.ndarray, bucket: np.ndarray, dense: np.ndarray, y: np.ndarray, keep: np.ndarray) -> tuple[Linear, np.ndarray]:
+    """A model over the kept buckets, and the number of each bucket in it."""
+    wanted = np.full(BUCKETS, -1, np.int32)
+    wanted[keep] = np.arange(len(keep))
+    word = wanted[bucket]
+    return logistic(owner[word >= 0], word[word >= 0], len(keep), dense, y), wanted
+
+
+def _out_of_fold(owner: np.ndarray, bucket: np.ndarray, dense: np.ndarray, y: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """Each row's probability from a model that its fold had no part in, the choice of words included."""
+    n, out = len(y), np.zeros(len(y))
+    for f in range(FOLDS):
+        rows = np.flatnonzero(fold != f)
+        place = np.full(n, -1)
+        place[rows] = np.arange(len(rows))
+        inside = place[owner] >= 0
+        model, wanted = _fitted(place[owner[inside]], bucket[inside], dense[rows], y[rows], _select(place[owner[inside]], bucket[inside], y[rows]))
+        word = wanted[bucket]
+        score = model.bias + np.bincount(owner[word >= 0], model.words[word[word >= 0]], n) + dense @ model.dense
+        out[fold == f] = _sigmoid(score)[fold == f]
+    return out
+
+
+def _cut(p: np.ndarray, y: np.ndarray) -> float:
+    """The cut with the largest F1 (ties: the smallest); one half without both classes."""
+    if len(set(y.tolist())) < 2:
+        return 0.5
+    return float(CUTS[int(np.argmax([2 * y[p >= c].sum() / ((p >= c).sum() + y.sum()) for c in CUTS]))])
+
+
+def train(owner: np.ndarray, bucket: np.ndarray, dense: np.ndarray, labels: list[np.ndarray], names: tuple[str, ...], fold: np.ndarray | None = None) -> Chain:
     """The chain from (row, bucket) pairs, dense statistics and one 0/1 array a category.
 
     What a later model learns from are out-of-fold probabilities: each row's come from earlier models fitted without
-    its fold. What it gets in use are those of models fitted on all rows.
+    its fold, their words chosen without it too. What it gets in use are those of models fitted on all rows. The cuts
+    come from out-of-fold probabilities as well.
     """
     n = dense.shape[0]
     mean, scale = (dense.mean(0), dense.std(0) + 1e-6) if n else (np.zeros(dense.shape[1]), np.ones(dense.shape[1]))
     x = np.clip((dense - mean) / scale, -6, 6)
     keep = np.unique(np.concatenate([_select(owner, bucket, y) for y in labels])) if n else np.zeros(0, np.int64)
-    wanted = np.full(BUCKETS, -1, np.int32)
-    wanted[keep] = np.arange(len(keep))
-    word = wanted[bucket]
-    owner, word = owner[word >= 0], word[word >= 0]
-    fold = np.arange(n) % FOLDS
-    models, earlier = [], np.zeros((n, 0))
-    for k, y in enumerate(labels):
-        full = np.hstack([x, earlier])
-        models.append(logistic(owner, word, len(keep), full, y))
-        if k + 1 < len(labels):
-            apart = np.zeros(n)
-            for f in range(FOLDS):
-                rows = np.flatnonzero(fold != f)
-                place = np.full(n, -1)
-                place[rows] = np.arange(len(rows))
-                inside = place[owner] >= 0
-                model = logistic(place[owner[inside]], word[inside], len(keep), full[rows], y[rows])
-                score = model.bias + np.bincount(owner, model.words[word], n) + full @ model.dense
-                apart[fold == f] = _sigmoid(score)[fold == f]
-            earlier = np.hstack([earlier, _logit(apart)[:, None]])
-    return Chain(names, wanted, mean, scale, tuple(models))
+    fold = np.arange(n) % FOLDS if fold is None else fold
+    models, cuts, wanted = [], [], np.full(BUCKETS, -1, np.int32)
+    for y in labels:
+        model, wanted = _fitted(owner, bucket, x, y, keep)
+        apart = _out_of_fold(owner, bucket, x, y, fold) if n else np.zeros(0)
+        models.append(model)
+        cuts.append(_cut(apart, y))
+        x = np.hstack([x, _logit(apart)[:, None]])
+    return Chain(names, wanted, mean, scale, tuple(models), tuple(cuts))
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, categories: tuple[tuple[str, str, int], ...] = CATEGORIES) -> Chain:
-    """The chain from whole texts of a bounded sample of labelled documents; hashed words and statistics are gathered."""
+    """The chain from whole texts of a bounded sample of labelled documents; hashed words and statistics are gathered. Copies of a text are in one fold."""
     batched(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,16 +160,16 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, categories: tu
             stats = _whole(b.column("text"))
             dense = pa.ListArray.from_arrays(pa.array((np.arange(b.num_rows + 1) * stats.shape[1]).astype(np.int32)), pa.array(stats.astype(np.float32).ravel()))
             words = pa.ListArray.from_arrays(pa.array(edges), pa.array(bucket.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.string()), *(b.column(c).cast(pa.int32()) for _, c, _ in categories), words, dense], ["id", *(f"y{i}" for i in range(len(categories))), "words", "dense"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.string()), *(b.column(c).cast(pa.int32()) for _, c, _ in categories), words, dense, pa.array([zlib.crc32((t or "").encode()) % FOLDS for t in b.column("text").to_pylist()], pa.int32())], ["id", *(f"y{i}" for i in range(len(categories))), "words", "dense", "fold"])
 
-    schema = ", ".join(["id string", *(f"y{i} int" for i in range(len(categories))), "words array<int>", "dense array<float>"])
+    schema = ", ".join(["id string", *(f"y{i} int" for i in range(len(categories))), "words array<int>", "dense array<float>", "fold int"])
     got = labelled_sample(docs, labels, rows).mapInArrow(run, schema).toArrow().sort_by("id")
     words = got.column("words").combine_chunks()
     many = np.diff(np.asarray(words.offsets, np.int64))
     owner, bucket = np.repeat(np.arange(len(many)), many), np.asarray(words.flatten(), np.int64)
     dense = np.asarray(got.column("dense").combine_chunks().flatten(), np.float64).reshape(-1, N_STATS + N_TEXT)
     y = [(np.asarray(got.column(f"y{i}"), np.int64) == value).astype(np.float64) for i, (_, _, value) in enumerate(categories)]
-    return train(owner, bucket, dense, y, tuple(name for name, _, _ in categories))
+    return train(owner, bucket, dense, y, tuple(name for name, _, _ in categories), np.asarray(got.column("fold"), np.int64))
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
@@ -172,5 +194,5 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return found.selectExpr("doc_id", "p_low_quality", "p_toxic", f"p_toxic >= {CUT} AS toxic")
+    chain = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score(docs, chain).selectExpr("doc_id", "p_low_quality", "p_toxic", f"p_toxic >= {chain.cuts[1]!r}D AS toxic")

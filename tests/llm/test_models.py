@@ -292,3 +292,26 @@ def test_near_dedup_recall_at_the_threshold(spark):
     part = dict(map(tuple, shingles.components(spark.createDataFrame(rows, "h long, text string"), 5).collect()))
     assert np.mean([part[a] == part[b] for a, b in pairs]) >= 0.99
     assert len(set(part.values())) >= 299
+
+
+def test_op6_and_op10_held_out_figures(spark):
+    """Only rows that no model learned from, on a table that has enough toxic ones; figures are in the README."""
+    import zlib
+
+    sf = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{sf}/labels.parquet").collect()
+    known = {r["doc_id"]: r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0}
+    got = {r["doc_id"]: r["toxic"] for r in QUERIES["op6_toxicity"](spark, sf).collect()}
+    toxic, plain = ([got[i] for i, r in known.items() if r["toxic"] == x] for x in (1, 0))
+    assert np.mean(toxic) >= 0.8 and np.mean(plain) <= 0.02
+    quality = {r["doc_id"]: r["predicted"] for r in QUERIES["op10_quality"](spark, sf).collect()}
+    assert np.mean([quality[i] == r["quality"] for i, r in known.items()]) > 0.95
+
+
+def test_words_of_a_fold_are_chosen_without_it():
+    """A word that only one row has can't tell that row's own label."""
+    rng = np.random.default_rng(4)
+    y = (rng.random(300) < 0.5).astype(float)
+    owner, bucket = np.repeat(np.arange(300), 8), rng.integers(0, 200, 2400)
+    got = toxicity._out_of_fold(owner, bucket, np.zeros((300, 1)), y, np.arange(300) % 3)
+    assert abs(np.corrcoef(got, y)[0, 1]) < 0.2
