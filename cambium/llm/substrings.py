@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cambium.llm.common import U64, batched, fresh, prefix, ranged, slices, stored, text_bytes, word_hashes, words_of
+from cambium.llm.common import U64, batched, fresh, prefix, ranged, slices, stored, text_bytes, told_apart, word_hashes, words_of
 
 #: Words of the anchor, the run that a window is filed under: of its runs of ANCHOR words the one with the least hash.
 ANCHOR = 10
@@ -157,8 +157,9 @@ def _words(wanted: DataFrame, docs: DataFrame, window: int) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["anchor", "ctx", "n", "m", "hot", "words"])
 
-    joined = docs.select("key", "doc_id", "text").join(lists.hint("shuffle_hash"), "key")  # texts aren't sorted
-    return joined.mapInArrow(run, "anchor long, ctx long, n int, m long, hot boolean, words binary")
+    lists = stored(lists)
+    some, _ = told_apart(docs.select("key", "text"), F.col("key"), lists.select("key"))  # other texts aren't shuffled
+    return some.join(lists, "key").mapInArrow(run, "anchor long, ctx long, n int, m long, hot boolean, words binary")
 
 
 def _automata(contexts: DataFrame, window: int) -> DataFrame:
@@ -234,15 +235,20 @@ def remove_repeats(docs: DataFrame, window: int = 35, text_out: str = "kept_text
     else, in another document or in the same one; windows are judged on the input. Null and empty texts have no words
     and an empty result, as do texts of which nothing is left; texts shorter than the window stay. Rows repeated with
     the same id and text are documents of their own, and so repeat each other. Texts of 2**26 words or more raise an
-    error. Columns of docs named like the new ones are replaced.
+    error, as does a window of other than 10 to 72 words (an anchor is 10 words, a context's windows are bits of a
+    long). Columns of docs named like the new ones are replaced. Only texts with repeated windows are shuffled.
     """
+    if not ANCHOR <= window < ANCHOR + 63:
+        raise ValueError(f"window: {ANCHOR} to {ANCHOR + 62} words")
     batched(docs.sparkSession)
     added = ("n_words", "n_removed", text_out)
     kept = docs.select([c for c in docs.columns if c not in added])
     key = F.xxhash64("doc_id", "text")
-    slim = docs.select(key.alias("key"), "doc_id", "text")
-    spans = repeated(slim, window)
     names, k, found = kept.columns, fresh("key"), fresh("spans")
+    spans = stored(repeated(docs.select(key.alias("key"), "doc_id", "text"), window).select(F.col("key").alias(k), F.col("spans").alias(found)))
+    some, rest = told_apart(kept, key, spans.select(k))
+    met = some.withColumn(k, key).join(spans, k, "left")
+    alone = rest.withColumn(k, F.lit(0).cast("long")).withColumn(found, F.lit(None).cast(spans.schema[found].dataType))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -261,9 +267,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, text_out: str = "kept_text
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *new], [*names, *added])
 
     schema = T.StructType([*kept.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField(text_out, T.StringType())])
-    if set(names) == {"doc_id", "text"}:
-        return slim.join(spans.withColumnRenamed("spans", found).hint("shuffle_hash"), "key", "left").mapInArrow(run, schema)
-    return kept.withColumn(k, key).join(spans.select(F.col("key").alias(k), F.col("spans").alias(found)).hint("shuffle_hash"), k, "left").mapInArrow(run, schema)
+    return met.mapInArrow(run, schema).unionByName(alone.select(met.columns).mapInArrow(run, schema))
 
 
 def remove_reference(docs: DataFrame, reference: DataFrame, window: int = 35) -> DataFrame:

@@ -174,3 +174,14 @@ def test_unlike_texts_under_one_id_both_stay(spark):
     rows = [(5, one), (5, two), (5, one + " tail")]
     got = [r["text"] for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert len(got) == 2 and two in got
+
+
+@pytest.mark.parametrize("window", [10, 12, 72])
+def test_op1_windows(spark, window):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(30)}" for _ in range(200)]
+    rows = [(i, " ".join(base[rng.randrange(100) :][: rng.randrange(5, 150)])) for i in range(30)]
+    got = sorted(removed(spark.createDataFrame(rows, "doc_id long, text string"), window))
+    assert got == sorted((i, *x) for (i, _), x in zip(rows, kept(rows, window)))
+    with pytest.raises(ValueError, match="window"):
+        substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 73 if window == 72 else 9)
