@@ -4,7 +4,8 @@ At that similarity about 15 % of the bits of a SimHash differ, too many for one
 have 256 bits, in 16 blocks, and each block is compared under a salt that similar sets share: the least hash of the set
 in one of 16 orders. Sets of a salt are linked in a star first, which settles most groups of near copies; those that are
 left in different components send the variants of their blocks within half the radius of two bits, and colliding pairs
-are verified, by the whole fingerprint and then set against set. A pair of similarity 0.8 has no block that collides
+are verified, by the whole fingerprint and then set against set. Of a large group of edited copies nearly all pairs would
+collide, though few have the similarity; so members close to the centre of their star meet by the edits that they share. A pair of similarity 0.8 has no block that collides
 with a probability of 1e-4, and is too far apart by its fingerprint with one of 1e-3; of greater similarity, less.
 """
 
@@ -27,6 +28,8 @@ OVER, OF = 4, 5
 SALTS, WIDTH, LONGS = 16, 16, 4
 #: Differing bits beyond which pairs aren't verified set against set. At similarity 0.8 they are 38.8 on average, with a deviation of 5.7.
 FAR = 58
+#: Similarity, as a fraction, from which a member of a star is close to its centre, and differing bits beyond which that isn't tried.
+CLOSE, CLOSE_OF, CLOSE_FAR = 3, 10, 100
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -111,33 +114,85 @@ def _near_in_size(n: str, m: str) -> Column:
     return OF * F.least(n, m) >= OVER * F.greatest(n, m)
 
 
+def _beside(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs (a, b, ...) of digests, with text_a and text_b."""
+    either = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
+    wanted = durable(classes.select("digest", "h").join(either, "digest", "left_semi"))
+    some, _ = told_apart(texts, F.col("h"), wanted.select("h"))
+    found = stored(some.join(wanted, "h").groupBy("digest").agg(F.first("text").alias("text")))
+    return _both(pairs, found, ("text",))
+
+
+def _compared(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Of each slice of pairs of texts: the pairs, what their sets differ by, how many shingles they share, and have in all."""
+    for b in (x for part in slices(batches, "text_a") for x in slices(iter([part]), "text_b")):
+        (one, at), (two, to) = (shingle_sets(b.column(f"text_{s}"), shingle) for s in "ab")
+        differ = [np.setxor1d(one[at[i] : at[i + 1]], two[to[i] : to[i + 1]], assume_unique=True) for i in range(b.num_rows)]
+        both, many = np.diff(at) + np.diff(to), np.array([len(x) for x in differ], np.int64)
+        yield b, differ, (both - many) // 2, (both + many) // 2
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """The pairs (a, b) of digests that have the similarity: near in size and fingerprint, then set against set."""
     near = durable(_both(pairs, classes, ("n", "mark")).where(_near_in_size("n_a", "n_b") & (_apart("mark_a", "mark_b", LONGS) <= FAR)).select("a", "b"))
-    either = near.select(F.col("a").alias("digest")).unionByName(near.select(F.col("b").alias("digest"))).distinct()
-    wanted = durable(classes.select("digest", "h").join(either, "digest", "left_semi"))
-    if wanted.isEmpty():
+    if near.isEmpty():
         return near
-    some, _ = told_apart(texts, F.col("h"), wanted.select("h"))
-    found = stored(some.join(wanted, "h").groupBy("digest").agg(F.first("text").alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (x for part in slices(batches, "text_a") for x in slices(iter([part]), "text_b")):
-            (one, at), (two, to) = (shingle_sets(b.column(f"text_{s}"), shingle) for s in "ab")
-            common = [len(np.intersect1d(one[at[i] : at[i + 1]], two[to[i] : to[i + 1]], assume_unique=True)) for i in range(b.num_rows)]
-            total = np.diff(at) + np.diff(to) - common
-            yield b.filter(pa.array(OF * np.array(common, np.int64) >= OVER * total)).select(["a", "b"])
+        for b, _, common, total in _compared(batches, shingle):
+            yield b.filter(pa.array(OF * common >= OVER * total)).select(["a", "b"])
+
+    return durable(_beside(near, classes, texts).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"))
 
-    return durable(_both(near, found, ("text",)).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"))
+
+def _around(stars: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """(a, b, linked, delta) of the members a of a star that are close to its centre b: whether they have the similarity, and what their sets differ by."""
+    close = (CLOSE_OF * F.least("n_a", "n_b") >= CLOSE * F.greatest("n_a", "n_b")) & (_apart("mark_a", "mark_b", LONGS) <= CLOSE_FAR)
+    near = durable(_both(stars, classes, ("n", "mark")).where(close).select("a", "b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, differ, common, total in _compared(batches, shingle):
+            kept = np.flatnonzero(CLOSE_OF * common >= CLOSE * total)
+            ends = np.cumsum([0, *(len(differ[i]) for i in kept)], dtype=np.int32)
+            delta = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, U64), *(differ[i] for i in kept)]).view(np.int64)))
+            pairs = b.take(pa.array(kept))
+            yield pa.RecordBatch.from_arrays([pairs.column("a"), pairs.column("b"), pa.array((OF * common >= OVER * total)[kept]), delta], ["a", "b", "linked", "delta"])
+
+    return stored(_beside(near, classes, texts).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, linked boolean, delta array<long>"))
+
+
+def _edits_shared(around: DataFrame, part: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members of a star, in different components, that may have the similarity: an exact prefix filter on what they differ by from the centre.
+
+    Two sets differ by what their deltas differ by, so those of the similarity have deltas that differ by at most a ninth
+    of both sizes. Unless both are linked with the centre, their deltas share an element. Rarest first, the first shared
+    one comes after at most a quarter of a set's size of others, in the smaller delta an eighth, and in that of a linked
+    member 5/9 of the delta. Edited copies whose edits are their own share only frequent elements, so most don't meet.
+    """
+    rows = around.withColumnRenamed("a", "digest").join(part, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    several = rows.groupBy("b").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("b")
+    rows = rows.join(several, "b", "left_semi").join(classes.select("digest", "n"), "digest").withColumn("size", F.size("delta"))
+    member = ["b", "digest", "component", "linked", "n", "size"]
+    each = rows.select(*member, F.explode("delta").alias("x"))
+    shared = each.groupBy("b", "x").agg(F.count("*").alias("c")).where("c > 1")
+    ranked = each.join(shared, ["b", "x"]).groupBy(*member).agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("s"))
+    placed = durable(ranked.select(*member, (F.col("size") - F.size("s")).alias("own"), F.posexplode("s").alias("p", "s")).select(*member, F.col("s.x").alias("x"), (F.col("own") + F.col("p")).alias("p")))
+    sides = []
+    for side, first in (("a", F.col("p") <= F.floor(F.col("n") / 4)), ("b", (F.col("p") <= F.floor(F.col("n") / 8)) & (~F.col("linked") | (9 * F.col("p") < 5 * F.col("size") + 9)))):
+        sides.append(placed.where(first).select("b", "x", *[F.col(c).alias(f"{c}_{side}") for c in ("digest", "component", "n", "size", "p")]))
+    smaller = F.expr("size_b < size_a or size_b = size_a and digest_b < digest_a") & F.expr("component_a != component_b")
+    able = F.expr("18 * (least(size_a - p_a, size_b - p_b)) >= 9 * (size_a + size_b) - n_a - n_b and 9 * (p_a + p_b) <= n_a + n_b")
+    pairs = sides[0].join(sides[1], ["b", "x"]).where(smaller & _near_in_size("n_a", "n_b") & able)
+    return pairs.select(F.least("digest_a", "digest_b").alias("a"), F.greatest("digest_a", "digest_b").alias("b")).distinct()
 
 
 def _balls(members: DataFrame) -> DataFrame:
-    """members (salt, i, digest, n, component, mark), each once for every variant within one bit of block i: with `key`."""
+    """members (salt, i, digest, n, component, close, mark), each once for every variant within one bit of block i: with `key`."""
     at = F.col("i") * WIDTH
     block = F.call_function("shiftrightunsigned", F.get("mark", F.floor(at / 64).cast("int")), at % 64).bitwiseAND(F.lit((1 << WIDTH) - 1))
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(WIDTH)])
-    each = members.select("salt", "digest", "n", "component", "mark", block.alias("block"), F.explode(flips).alias("flip")).withColumn("variant", F.col("block").bitwiseXOR(F.col("flip")))
-    return each.select(F.xxhash64("salt", "variant").alias("key"), "variant", "block", "digest", "n", "component", "mark")
+    each = members.select("salt", "digest", "n", "component", "close", "mark", block.alias("block"), F.explode(flips).alias("flip")).withColumn("variant", F.col("block").bitwiseXOR(F.col("flip")))
+    return each.select(F.xxhash64("salt", "variant").alias("key"), "variant", "block", "digest", "n", "component", "close", "mark")
 
 
 def _first_variant(one: str, other: str) -> Column:
@@ -165,20 +220,26 @@ def components(texts: DataFrame, shingle: int) -> DataFrame:
     shared = _unlike(each, "digest", F.count("*").alias("c"))
     met = durable(each.join(shared, "salt").select("salt", "i", "digest", "c"))
     weight = met.groupBy("digest").agg(F.sum("c").alias("w"))
-    centre = met.join(weight, "digest").groupBy("salt").agg(F.max(F.struct("w", "digest")).alias("m")).select("salt", F.col("m.digest").alias("other"))
-    stars = met.select("salt", "digest").join(centre, "salt").where("digest != other")
-    stars = stars.select(F.least("digest", "other").alias("a"), F.greatest("digest", "other").alias("b")).distinct()
-    links = _verified(stars, classes, texts, shingle)
-
-    part = connected_components(links).withColumnRenamed("id", "digest")
-    placed = durable(met.select("salt", "i", "digest").join(part, "digest", "left").withColumn("component", F.coalesce("component", "digest")))
-    open_ = placed.join(_unlike(placed, "component").select("salt"), "salt", "left_semi")
+    centre = durable(met.join(weight, "digest").groupBy("salt").agg(F.max(F.struct("w", "digest")).alias("m")).select("salt", F.col("m.digest").alias("b")))
+    stars = met.select("salt", F.col("digest").alias("a")).join(centre, "salt").where("a != b").select("a", "b").distinct()
+    around = _around(stars, classes, texts, shingle)
+    links = around.where("linked").select("a", "b")
+
+    part = durable(connected_components(links).withColumnRenamed("id", "digest"))
+    beside = around.select(F.col("a").alias("digest"), "b", F.lit(True).alias("close"))
+    placed = met.select("salt", "i", "digest").join(centre, "salt").join(beside, ["digest", "b"], "left").join(part, "digest", "left")
+    placed = durable(placed.select("salt", "i", "digest", F.coalesce("component", "digest").alias("component"), F.coalesce("close", F.col("digest") == F.col("b")).alias("close")))
+    open_ = placed.join(_unlike(placed, "component", F.min("close").alias("all")).where("not all").select("salt"), "salt", "left_semi")
     sent = _balls(open_.join(classes.select("digest", "n", "mark"), "digest"))
-    one, two = (sent.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("variant", "block", "digest", "n", "component", "mark")]) for s in "ab")
+    one, two = (sent.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("variant", "block", "digest", "n", "component", "close", "mark")]) for s in "ab")
     pairs = one.join(two, "key").where(
-        F.expr("digest_a < digest_b and component_a != component_b") & _near_in_size("n_a", "n_b") & (F.col("variant_a") == _first_variant("block_a", "block_b")) & (_apart("mark_a", "mark_b", LONGS) <= FAR)
+        F.expr("digest_a < digest_b and component_a != component_b and not (close_a and close_b)")
+        & _near_in_size("n_a", "n_b")
+        & (F.col("variant_a") == _first_variant("block_a", "block_b"))
+        & (_apart("mark_a", "mark_b", LONGS) <= FAR)
     )
-    pairs = durable(pairs.select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b")).distinct())
+    pairs = pairs.select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b")).distinct()
+    pairs = durable(pairs.unionByName(_edits_shared(around, part, classes)).distinct())
     links = links.unionByName(_verified(pairs, classes, texts, shingle))
     part = connected_components(links).withColumnRenamed("id", "digest")
     return table.select("h", "digest").distinct().join(part, "digest", "left").select("h", F.coalesce("component", "digest").alias("component"))

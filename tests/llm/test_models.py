@@ -294,6 +294,30 @@ def test_near_dedup_recall_at_the_threshold(spark):
     assert len(set(part.values())) >= 299
 
 
+@pytest.mark.parametrize("original", [True, False])
+def test_near_dedup_of_a_large_edited_group(spark, original):
+    """One text edited 0 to 12 times, by words replaced, dropped and added, some copies edited again: as by all pairs."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(17)
+    base, own = [f"w{x}" for x in rng.integers(0, 900, 150)], iter(range(10**6))
+
+    def edited(words, times):
+        words = list(words)
+        for _ in range(times):
+            at, kind = int(rng.integers(0, len(words))), int(rng.integers(0, 3))
+            words[at : at + (kind != 2)] = [] if kind == 1 else [f"edit{next(own)}"]
+        return words
+
+    texts = [base] * original + [edited(base, 1 + k % 12) for k in range(250)]
+    texts += [edited(texts[k], 1 + k % 4) for k in range(0, 250, 3)]
+    rows = [(k, " ".join(t), "en", "s", 0) for k, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    got = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, frame, SF).select("doc_id").collect()}
+    want = near_dedup_by_all_pairs([r[:2] for r in rows])
+    assert got == want and 20 < len(want) < 300
+
+
 def test_op6_and_op10_held_out_figures(spark):
     """Only rows that no model learned from, on a table that has enough toxic ones; figures are in the README."""
     import zlib
