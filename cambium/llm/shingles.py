@@ -29,7 +29,7 @@ SALTS, WIDTH, LONGS = 16, 16, 4
 #: Differing bits beyond which pairs aren't verified set against set. At similarity 0.8 they are 38.8 on average, with a deviation of 5.7.
 FAR = 58
 #: Similarity, as a fraction, from which a member of a star is close to its centre, and differing bits beyond which that isn't tried.
-CLOSE, CLOSE_OF, CLOSE_FAR = 3, 10, 100
+CLOSE, CLOSE_OF, CLOSE_FAR = 2, 5, 90
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -173,12 +173,12 @@ def _edits_shared(around: DataFrame, part: DataFrame, classes: DataFrame) -> Dat
     several = rows.groupBy("b").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("b")
     rows = rows.join(several, "b", "left_semi").join(classes.select("digest", "n"), "digest").withColumn("size", F.size("delta"))
     member = ["b", "digest", "component", "linked", "n", "size"]
-    each = rows.select(*member, F.explode("delta").alias("x"))
+    each = rows.select("b", "digest", F.explode("delta").alias("x"))
     shared = each.groupBy("b", "x").agg(F.count("*").alias("c")).where("c > 1")
-    ranked = each.join(shared, ["b", "x"]).groupBy(*member).agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("s"))
-    placed = durable(ranked.select(*member, (F.col("size") - F.size("s")).alias("own"), F.posexplode("s").alias("p", "s")).select(*member, F.col("s.x").alias("x"), (F.col("own") + F.col("p")).alias("p")))
+    ranked = each.join(shared, ["b", "x"]).groupBy("b", "digest").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("s")).join(rows.select(member), ["b", "digest"])
+    placed = stored(ranked.select(*member, (F.col("size") - F.size("s")).alias("own"), F.posexplode("s").alias("p", "s")).select(*member, F.col("s.x").alias("x"), (F.col("own") + F.col("p")).alias("p")).where(F.col("p") <= F.floor(F.col("n") / 4)))
     sides = []
-    for side, first in (("a", F.col("p") <= F.floor(F.col("n") / 4)), ("b", (F.col("p") <= F.floor(F.col("n") / 8)) & (~F.col("linked") | (9 * F.col("p") < 5 * F.col("size") + 9)))):
+    for side, first in (("a", F.lit(True)), ("b", (F.col("p") <= F.floor(F.col("n") / 8)) & (~F.col("linked") | (9 * F.col("p") < 5 * F.col("size") + 9)))):
         sides.append(placed.where(first).select("b", "x", *[F.col(c).alias(f"{c}_{side}") for c in ("digest", "component", "n", "size", "p")]))
     smaller = F.expr("size_b < size_a or size_b = size_a and digest_b < digest_a") & F.expr("component_a != component_b")
     able = F.expr("18 * (least(size_a - p_a, size_b - p_b)) >= 9 * (size_a + size_b) - n_a - n_b and 9 * (p_a + p_b) <= n_a + n_b")
@@ -187,12 +187,12 @@ def _edits_shared(around: DataFrame, part: DataFrame, classes: DataFrame) -> Dat
 
 
 def _balls(members: DataFrame) -> DataFrame:
-    """members (salt, i, digest, n, component, close, mark), each once for every variant within one bit of block i: with `key`."""
+    """members (salt, i, digest, n, component, close, mark), each once for every variant within one bit of block i: with `key`, and without the fingerprint, as 17 copies of it are most of a row."""
     at = F.col("i") * WIDTH
     block = F.call_function("shiftrightunsigned", F.get("mark", F.floor(at / 64).cast("int")), at % 64).bitwiseAND(F.lit((1 << WIDTH) - 1))
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(WIDTH)])
-    each = members.select("salt", "digest", "n", "component", "close", "mark", block.alias("block"), F.explode(flips).alias("flip")).withColumn("variant", F.col("block").bitwiseXOR(F.col("flip")))
-    return each.select(F.xxhash64("salt", "variant").alias("key"), "variant", "block", "digest", "n", "component", "close", "mark")
+    flips = F.array(F.lit(0), *[F.lit(1 << i) for i in range(WIDTH)])
+    each = members.select("salt", "digest", "n", "component", "close", block.cast("int").alias("block"), F.explode(flips).alias("flip")).withColumn("variant", F.col("block").bitwiseXOR(F.col("flip")))
+    return each.select(F.xxhash64("salt", "variant").alias("key"), "variant", "block", "digest", "n", "component", "close")
 
 
 def _first_variant(one: str, other: str) -> Column:
@@ -218,7 +218,7 @@ def components(texts: DataFrame, shingle: int) -> DataFrame:
     classes = stored(table.groupBy("digest").agg(F.min("h").alias("h"), F.first("n").alias("n"), F.first("salts").alias("salts"), F.first("mark").alias("mark")))
     each = classes.where("n > 0").select("digest", F.posexplode("salts").alias("i", "salt"))
     shared = _unlike(each, "digest", F.count("*").alias("c"))
-    met = durable(each.join(shared, "salt").select("salt", "i", "digest", "c"))
+    met = stored(each.join(shared, "salt").select("salt", "i", "digest", "c"))
     weight = met.groupBy("digest").agg(F.sum("c").alias("w"))
     centre = durable(met.join(weight, "digest").groupBy("salt").agg(F.max(F.struct("w", "digest")).alias("m")).select("salt", F.col("m.digest").alias("b")))
     stars = met.select("salt", F.col("digest").alias("a")).join(centre, "salt").where("a != b").select("a", "b").distinct()
@@ -228,15 +228,14 @@ def components(texts: DataFrame, shingle: int) -> DataFrame:
     part = durable(connected_components(links).withColumnRenamed("id", "digest"))
     beside = around.select(F.col("a").alias("digest"), "b", F.lit(True).alias("close"))
     placed = met.select("salt", "i", "digest").join(centre, "salt").join(beside, ["digest", "b"], "left").join(part, "digest", "left")
-    placed = durable(placed.select("salt", "i", "digest", F.coalesce("component", "digest").alias("component"), F.coalesce("close", F.col("digest") == F.col("b")).alias("close")))
+    placed = stored(placed.select("salt", "i", "digest", F.coalesce("component", "digest").alias("component"), F.coalesce("close", F.col("digest") == F.col("b")).alias("close")))
     open_ = placed.join(_unlike(placed, "component", F.min("close").alias("all")).where("not all").select("salt"), "salt", "left_semi")
     sent = _balls(open_.join(classes.select("digest", "n", "mark"), "digest"))
-    one, two = (sent.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("variant", "block", "digest", "n", "component", "close", "mark")]) for s in "ab")
+    one, two = (sent.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("variant", "block", "digest", "n", "component", "close")]) for s in "ab")
     pairs = one.join(two, "key").where(
         F.expr("digest_a < digest_b and component_a != component_b and not (close_a and close_b)")
         & _near_in_size("n_a", "n_b")
         & (F.col("variant_a") == _first_variant("block_a", "block_b"))
-        & (_apart("mark_a", "mark_b", LONGS) <= FAR)
     )
     pairs = pairs.select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b")).distinct()
     pairs = durable(pairs.unionByName(_edits_shared(around, part, classes)).distinct())
