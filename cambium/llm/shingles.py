@@ -239,6 +239,9 @@ def components(texts: DataFrame, shingle: int) -> DataFrame:
     )
     pairs = pairs.select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b")).distinct()
     pairs = durable(pairs.unionByName(_edits_shared(around, part, classes)).distinct())
-    links = links.unionByName(_verified(pairs, classes, texts, shingle))
-    part = connected_components(links).withColumnRenamed("id", "digest")
-    return table.select("h", "digest").distinct().join(part, "digest", "left").select("h", F.coalesce("component", "digest").alias("component"))
+    found = _verified(pairs, classes, texts, shingle)
+    for side in ("a", "b"):
+        found = found.withColumnRenamed(side, "digest").join(part, "digest", "left").select(F.coalesce("component", "digest").alias(side), *[c for c in ("a", "b") if c != side])
+    merged = connected_components(found).select(F.col("id").alias("component"), F.col("component").alias("whole"))
+    placed = table.select("h", "digest").distinct().join(part, "digest", "left").select("h", F.coalesce("component", "digest").alias("component"))
+    return placed.join(merged, "component", "left").select("h", F.coalesce("whole", "component").alias("component"))
