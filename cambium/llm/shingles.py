@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cambium.llm.common import U64, batched, bit_sums, durable, mixed, prefix, ranged, slices, stored, text_bytes, told_apart, word_hashes, words_of
+from cambium.llm.common import U64, batched, bit_sums, mixed, prefix, ranged, slices, stored, text_bytes, told_apart, word_hashes, words_of
 from cambium.llm.components import connected_components
 
 #: Similarity asked for, as a fraction of integers, so that no rounding decides.
@@ -117,7 +117,7 @@ def _near_in_size(n: str, m: str) -> Column:
 def _beside(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """pairs (a, b, ...) of digests, with text_a and text_b."""
     either = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
-    wanted = durable(classes.select("digest", "h").join(either, "digest", "left_semi"))
+    wanted = stored(classes.select("digest", "h").join(either, "digest", "left_semi"))
     some, _ = told_apart(texts, F.col("h"), wanted.select("h"))
     found = stored(some.join(wanted, "h").groupBy("digest").agg(F.first("text").alias("text")))
     return _both(pairs, found, ("text",))
@@ -134,7 +134,7 @@ def _compared(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple
 
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """The pairs (a, b) of digests that have the similarity: near in size and fingerprint, then set against set."""
-    near = durable(_both(pairs, classes, ("n", "mark")).where(_near_in_size("n_a", "n_b") & (_apart("mark_a", "mark_b", LONGS) <= FAR)).select("a", "b"))
+    near = stored(_both(pairs, classes, ("n", "mark")).where(_near_in_size("n_a", "n_b") & (_apart("mark_a", "mark_b", LONGS) <= FAR)).select("a", "b"))
     if near.isEmpty():
         return near
 
@@ -142,13 +142,13 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: i
         for b, _, common, total in _compared(batches, shingle):
             yield b.filter(pa.array(OF * common >= OVER * total)).select(["a", "b"])
 
-    return durable(_beside(near, classes, texts).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"))
+    return stored(_beside(near, classes, texts).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"))
 
 
 def _around(stars: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """(a, b, linked, delta) of the members a of a star that are close to its centre b: whether they have the similarity, and what their sets differ by."""
     close = (CLOSE_OF * F.least("n_a", "n_b") >= CLOSE * F.greatest("n_a", "n_b")) & (_apart("mark_a", "mark_b", LONGS) <= CLOSE_FAR)
-    near = durable(_both(stars, classes, ("n", "mark")).where(close).select("a", "b"))
+    near = stored(_both(stars, classes, ("n", "mark")).where(close).select("a", "b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, differ, common, total in _compared(batches, shingle):
@@ -220,12 +220,12 @@ def components(texts: DataFrame, shingle: int) -> DataFrame:
     shared = _unlike(each, "digest", F.count("*").alias("c"))
     met = stored(each.join(shared, "salt").select("salt", "i", "digest", "c"))
     weight = met.groupBy("digest").agg(F.sum("c").alias("w"))
-    centre = durable(met.join(weight, "digest").groupBy("salt").agg(F.max(F.struct("w", "digest")).alias("m")).select("salt", F.col("m.digest").alias("b")))
+    centre = stored(met.join(weight, "digest").groupBy("salt").agg(F.max(F.struct("w", "digest")).alias("m")).select("salt", F.col("m.digest").alias("b")))
     stars = met.select("salt", F.col("digest").alias("a")).join(centre, "salt").where("a != b").select("a", "b").distinct()
     around = _around(stars, classes, texts, shingle)
     links = around.where("linked").select("a", "b")
 
-    part = durable(connected_components(links).withColumnRenamed("id", "digest"))
+    part = stored(connected_components(links).withColumnRenamed("id", "digest"))
     beside = around.select(F.col("a").alias("digest"), "b", F.lit(True).alias("close"))
     placed = met.select("salt", "i", "digest").join(centre, "salt").join(beside, ["digest", "b"], "left").join(part, "digest", "left")
     placed = stored(placed.select("salt", "i", "digest", F.coalesce("component", "digest").alias("component"), F.coalesce("close", F.col("digest") == F.col("b")).alias("close")))
@@ -238,7 +238,7 @@ def components(texts: DataFrame, shingle: int) -> DataFrame:
         & (F.col("variant_a") == _first_variant("block_a", "block_b"))
     )
     pairs = pairs.select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b")).distinct()
-    pairs = durable(pairs.unionByName(_edits_shared(around, part, classes)).distinct())
+    pairs = stored(pairs.unionByName(_edits_shared(around, part, classes)).distinct())
     found = _verified(pairs, classes, texts, shingle)
     for side in ("a", "b"):
         found = found.withColumnRenamed(side, "digest").join(part, "digest", "left").select(F.coalesce("component", "digest").alias(side), *[c for c in ("a", "b") if c != side])
