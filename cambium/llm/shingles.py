@@ -5,7 +5,9 @@ have 256 bits, in 16 blocks, and each block is compared under a salt that simila
 in one of 16 orders. Sets of a salt are linked in a star first, which settles most groups of near copies; those that are
 left in different components send the variants of their blocks within half the radius of two bits, and colliding pairs
 are verified, by the whole fingerprint and then set against set. Of a large group of edited copies nearly all pairs would
-collide, though few have the similarity; so members close to the centre of their star meet by the edits that they share. A pair of similarity 0.8 has no block that collides
+collide, though few have the similarity; so members close to the centre of their star meet by the edits that they share.
+Of the many texts with a common passage a fixed share of all pairs would collide; so those of a frequent salt meet by an
+exact prefix filter on their sets, passages last. A pair of similarity 0.8 has no block that collides
 with a probability of 1e-4, and is too far apart by its fingerprint with one of 1e-3; of greater similarity, less.
 """
 
@@ -30,6 +32,8 @@ SALTS, WIDTH, LONGS = 16, 16, 4
 FAR = 58
 #: Similarity, as a fraction, from which a member of a star is close to its centre, and differing bits beyond which that isn't tried.
 CLOSE, CLOSE_OF, CLOSE_FAR = 2, 5, 90
+#: Sets under a salt beyond which they don't meet by its balls, but by a prefix filter; the most frequent shingles that the filter is told of, which come last in its order; and in how many shingles at once they are counted.
+MANY, FREQUENT, RUN = 64, 1 << 18, 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -114,13 +118,17 @@ def _near_in_size(n: str, m: str) -> Column:
     return OF * F.least(n, m) >= OVER * F.greatest(n, m)
 
 
+def _with_text(members: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """members (digest, ...), each digest once, with text."""
+    wanted = stored(classes.select("digest", "h").join(members, "digest"))
+    some, _ = told_apart(texts, F.col("h"), wanted.select("h"))
+    return stored(some.groupBy("h").agg(F.first("text").alias("text")).join(wanted, "h").select(*members.columns, "text"))
+
+
 def _beside(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """pairs (a, b, ...) of digests, with text_a and text_b."""
     either = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
-    wanted = stored(classes.select("digest", "h").join(either, "digest", "left_semi"))
-    some, _ = told_apart(texts, F.col("h"), wanted.select("h"))
-    found = stored(some.join(wanted, "h").groupBy("digest").agg(F.first("text").alias("text")))
-    return _both(pairs, found, ("text",))
+    return _both(pairs, _with_text(either, classes, texts), ("text",))
 
 
 def _compared(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], np.ndarray, np.ndarray]]:
@@ -170,7 +178,7 @@ def _edits_shared(around: DataFrame, part: DataFrame, classes: DataFrame) -> Dat
     member 5/9 of the delta. Edited copies whose edits are their own share only frequent elements, so most don't meet.
     """
     rows = around.withColumnRenamed("a", "digest").join(part, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-    several = rows.groupBy("b").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("b")
+    several = stored(rows.groupBy("b").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("b"))
     rows = rows.join(several, "b", "left_semi").join(classes.select("digest", "n"), "digest").withColumn("size", F.size("delta"))
     member = ["b", "digest", "component", "linked", "n", "size"]
     each = rows.select("b", "digest", F.explode("delta").alias("x"))
@@ -186,6 +194,77 @@ def _edits_shared(around: DataFrame, part: DataFrame, classes: DataFrame) -> Dat
     return pairs.select(F.least("digest_a", "digest_b").alias("a"), F.greatest("digest_a", "digest_b").alias("b")).distinct()
 
 
+def _prefixes(sets: np.ndarray, offsets: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where in `sets` the first fifth of each set and one more are, and the place of each in its set: by hash, those of `frequent` (sorted) after all others, by rank."""
+    n = np.diff(offsets)
+    owner, late = np.repeat(np.arange(len(n)), n), np.zeros(len(sets), np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, sets), len(frequent) - 1)
+        late = np.where(frequent[at] == sets, rank[at] + 1, 0)
+    order = np.lexsort((sets, late, owner))
+    place = np.arange(len(sets)) - offsets[:-1][owner]
+    kept = place <= n[owner] // 5
+    return order[kept], place[kept]
+
+
+def _repeated(held: list[np.ndarray]) -> pa.RecordBatch:
+    """(x, c) of the values that are there more than once."""
+    values = np.sort(np.concatenate(held))
+    at = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    many = np.diff(np.append(at, len(values)))
+    return pa.RecordBatch.from_arrays([pa.array(values[at[many > 1]].view(np.int64)), pa.array(many[many > 1])], ["x", "c"])
+
+
+def _passages_last(members: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """Pairs (a, b) of members (digest, component, loose), in different components and not both close to a centre, that may have the similarity: an exact prefix filter on the sets.
+
+    Of sets of the similarity, the first shared shingle in any order for all comes after at most a fifth of a set's size
+    of others, in the smaller set a ninth. What many members have, such as a common passage, is last in the order, so
+    texts that share little else don't meet. The counts only make the order; a shingle left out of them, as one that
+    doesn't repeat within a run of RUN, costs time, no pair.
+    """
+    whole = _with_text(members, classes, texts)
+
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for b in slices(batches):
+            held.append(shingle_sets(b.column("text"), shingle)[0])
+            if sum(map(len, held)) >= RUN:
+                yield _repeated(held)
+                held = []
+        if held:
+            yield _repeated(held)
+
+    counts = whole.select("text").mapInArrow(repeated, "x long, c long").groupBy("x").agg(F.sum("c").alias("c"))
+    most = counts.orderBy(F.desc("c"), "x").limit(FREQUENT).select("x").toArrow().column("x").to_numpy().view(U64)
+    by = np.argsort(most)
+    late = texts.sparkSession.sparkContext.broadcast((most[by], len(by) - by))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            sets, offsets = shingle_sets(b.column("text"), shingle)
+            at, place = _prefixes(sets, offsets, *late.value)
+            owner = np.searchsorted(offsets, at, side="right") - 1
+            place = (np.diff(offsets)[owner] << 32) + place
+            rows = b.select(["digest", "component", "loose"]).take(pa.array(owner))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(sets[at].view(np.int64)), pa.array(place)], ["digest", "component", "loose", "x", "at"])
+
+    placed = stored(whole.select("digest", "component", "loose", "text").mapInArrow(run, "digest long, component long, loose boolean, x long, at long"))
+    n, p = ({s: f"{f}(at_{s}, {k})" for s in "ab"} for f, k in (("shiftright", 32), ("mod", 1 << 32)))  # one long is half of two in a shuffle
+    able = F.expr(
+        f"9 * least({n['a']} - {p['a']}, {n['b']} - {p['b']}) >= 4 * ({n['a']} + {n['b']})"
+        f" and ({n['b']} < {n['a']} or {n['b']} = {n['a']} and digest_b < digest_a) and component_a != component_b"
+    )
+
+    def side(s: str, which: str) -> DataFrame:
+        return placed.where(which).select("x", *[F.col(c).alias(f"{c}_{s}") for c in ("digest", "component", "at")])
+
+    ninth = "mod(at, 4294967296) <= floor(shiftright(at, 32) / 9)"
+    pairs = side("a", "true").join(side("b", f"loose and {ninth}"), "x").where(able)
+    pairs = pairs.unionByName(side("a", "loose").join(side("b", f"not loose and {ninth}"), "x").where(able))
+    return pairs.select(F.least("digest_a", "digest_b").alias("a"), F.greatest("digest_a", "digest_b").alias("b")).distinct()
+
+
 def _balls(members: DataFrame) -> DataFrame:
     """members (salt, i, digest, n, component, close, mark), each once for every variant within one bit of block i: with `key`, and without the fingerprint, as 17 copies of it are most of a row."""
     at = F.col("i") * WIDTH
@@ -211,7 +290,8 @@ def components(texts: DataFrame, shingle: int) -> DataFrame:
 
     Texts with equal sets are one class from the start. A null or empty text has an empty set, so all of them are one
     class. The centre of a star is the member that shares the most salts, such as the original of edited copies; the
-    members of a frequent salt are joined with it, never gathered.
+    members of a frequent salt are joined with it, never gathered. Balls are for salts of at most MANY sets, so a set
+    meets fewer than that under each.
     """
     batched(texts.sparkSession)
     table = stored(_table(texts, shingle))
@@ -227,10 +307,11 @@ def components(texts: DataFrame, shingle: int) -> DataFrame:
 
     part = stored(connected_components(links).withColumnRenamed("id", "digest"))
     beside = around.select(F.col("a").alias("digest"), "b", F.lit(True).alias("close"))
-    placed = met.select("salt", "i", "digest").join(centre, "salt").join(beside, ["digest", "b"], "left").join(part, "digest", "left")
-    placed = stored(placed.select("salt", "i", "digest", F.coalesce("component", "digest").alias("component"), F.coalesce("close", F.col("digest") == F.col("b")).alias("close")))
-    open_ = placed.join(_unlike(placed, "component", F.min("close").alias("all")).where("not all").select("salt"), "salt", "left_semi")
-    sent = _balls(open_.join(classes.select("digest", "n", "mark"), "digest"))
+    placed = met.join(centre, "salt").join(beside, ["digest", "b"], "left").join(part, "digest", "left")
+    placed = stored(placed.select("salt", "i", "digest", "c", F.coalesce("component", "digest").alias("component"), F.coalesce("close", F.col("digest") == F.col("b")).alias("close")))
+    unsettled = stored(_unlike(placed, "component", F.min("close").alias("all")).where("not all").select("salt"))
+    open_ = placed.join(unsettled, "salt", "left_semi")
+    sent = _balls(open_.where(F.col("c") <= MANY).join(classes.select("digest", "n", "mark"), "digest"))
     one, two = (sent.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("variant", "block", "digest", "n", "component", "close")]) for s in "ab")
     pairs = one.join(two, "key").where(
         F.expr("digest_a < digest_b and component_a != component_b and not (close_a and close_b)")
@@ -238,7 +319,11 @@ def components(texts: DataFrame, shingle: int) -> DataFrame:
         & (F.col("variant_a") == _first_variant("block_a", "block_b"))
     )
     pairs = pairs.select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b")).distinct()
-    pairs = stored(pairs.unionByName(_edits_shared(around, part, classes)).distinct())
+    pairs = pairs.unionByName(_edits_shared(around, part, classes))
+    crowd = stored(open_.where(F.col("c") > MANY).groupBy("digest").agg(F.first("component").alias("component"), F.max(~F.col("close")).alias("loose")))
+    if not crowd.isEmpty():
+        pairs = pairs.unionByName(_passages_last(crowd, classes, texts, shingle))
+    pairs = stored(pairs.distinct())
     found = _verified(pairs, classes, texts, shingle)
     for side in ("a", "b"):
         found = found.withColumnRenamed(side, "digest").join(part, "digest", "left").select(F.coalesce("component", "digest").alias(side), *[c for c in ("a", "b") if c != side])

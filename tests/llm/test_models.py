@@ -318,6 +318,58 @@ def test_near_dedup_of_a_large_edited_group(spark, original):
     assert got == want and 20 < len(want) < 300
 
 
+def test_near_dedup_of_many_texts_with_a_passage(spark, monkeypatch):
+    """As by all pairs; of unlike texts that share a passage, no share of all pairs is verified."""
+    import corpus_pipeline
+    from cambium.llm import shingles
+
+    rng = np.random.default_rng(23)
+    passage, texts = [f"line{i}" for i in range(60)], []
+    for k in range(600):
+        own = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(12, 110)))]
+        texts.append(own[: len(own) // 2] + passage + own[len(own) // 2 :])
+    for k in range(0, 600, 20):
+        twin = texts[k].copy()
+        for at in rng.integers(0, len(twin), 1 + k // 20 % 4):
+            twin[at] = f"edit{k}"
+        texts.append(twin)
+    rows = [(k, " ".join(t), "en", "s", 0) for k, t in enumerate(texts)]
+    verified, many = shingles._verified, []
+
+    def counted(pairs, *more):
+        many.append(pairs.count())
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(shingles, "_verified", counted)
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    got = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, frame, SF).select("doc_id").collect()}
+    assert got == near_dedup_by_all_pairs([r[:2] for r in rows])
+    assert many and sum(many) < len(rows)
+
+
+@pytest.mark.parametrize("told", [0, 2, 40])
+def test_prefixes_of_similar_sets_meet(told):
+    """Whatever is known of the frequent shingles, two sets of similarity 0.8 share one of their first fifths; in the smaller, one of its first ninth."""
+    from cambium.llm import shingles
+
+    rng = np.random.default_rng(29)
+    common = rng.integers(0, 2**63, 40).astype(np.uint64)
+    frequent = np.sort(common[:told])
+    rank = rng.permutation(told)
+    for _ in range(300):
+        n = int(rng.integers(1, 60))
+        a = np.unique(np.concatenate([rng.choice(common, min(n, 20), replace=False), rng.integers(0, 2**63, n).astype(np.uint64)]))
+        b = np.unique(np.concatenate([rng.permutation(a)[int(rng.integers(0, len(a) // 9 + 1)) :], rng.integers(0, 2**63, int(rng.integers(0, len(a) // 9 + 1))).astype(np.uint64)]))
+        if 5 * len(np.intersect1d(a, b)) < 4 * len(np.union1d(a, b)):
+            continue
+        sets, offsets = np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)])
+        at, place = shingles._prefixes(sets, offsets, frequent, rank)
+        first, second = ({int(sets[i]): p for i, p in zip(at, place) if (i >= len(a)) == side} for side in (False, True))
+        if len(a) < len(b):
+            first, second = second, first
+        assert any(x in first and p <= min(len(a), len(b)) // 9 for x, p in second.items())
+
+
 def test_op6_and_op10_held_out_figures(spark):
     """Only rows that no model learned from, on a table that has enough toxic ones; figures are in the README."""
     import zlib
